@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import quality_rules, suffix_dedup
+from corvane.llm import decontamination, near_dedup, packing, quality_rules, suffix_dedup
 from corvane.llm.shared import table, written
 
 
@@ -13,18 +13,40 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    return near_dedup.keep(spark, docs)
+
+
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier text has; documents with nothing left go."""
     return suffix_dedup.remove(docs)
 
 
-STAGES = [("quality_rules", rules), ("suffix_dedup", passages)]
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(spark, docs, decontamination.benchmark_of(table(spark, sf_dir, "benchmark")))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 4096 tokens."""
+    return packing.pack(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("near_dedup", near_copies),
+    ("suffix_dedup", passages),
+    ("decontamination", benchmark),
+    ("packing", sequences),
+]
 
-#: No stage but the first can be put as SQL over whole tables; tests hold run() against brute force.
+#: Signatures, suffix arrays and retrieval can't be put as SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what one returns is written and read again for the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(spark, stage(spark, docs, sf_dir), name)

@@ -8,10 +8,12 @@ an item nor to a common subsequence. So each text becomes an array of term numbe
    finder of a randomised singular value decomposition (SVD) of the TF-IDF matrix: each task sums
    TF' TF G for a random G, so what meets is a row of ``RANK`` numbers for each benchmark term.
 2. With its orthonormal basis Q and the inverse document frequencies, each task sums the small
-   matrix of (TF-IDF Q)'(TF-IDF Q); its eigenvectors turn Q into the leading right singular vectors.
+   matrix of (TF-IDF Q)'(TF-IDF Q); its eigenvectors turn Q into the leading right singular vectors,
+   each divided by its singular value, so that frequent words don't outweigh telling ones.
 3. Windows of about an item's length (the power of two at or above it, every quarter of it) are
    projected by differences of running sums and compared with the items of that length by cosine.
-4. Candidates are checked exactly: the longest common subsequence (LCS) of item and window, widened by
+4. Candidates with too few words of the item for step 5 go, by table lookups over all of them at once.
+5. The others are checked exactly: the longest common subsequence (LCS) of item and window, widened by
    half its length to both sides, must hold ``LCS_SHARE`` of the item's words; and of the answer, the
    last fifth of the item unless a column gives it, ``ANSWER_SHARE``. The answer check falls away where
    the LCS holds ``SURE`` of the item. Insertions, deletions, and exchanged words leave these intact.
@@ -22,7 +24,7 @@ driver but RANK numbers a benchmark term and a RANK x RANK matrix.
 Defined results. Null or empty text, or item: no match. Null doc_id: matches with a null id. Rows with
 one doc_id: one result row a matched item. Empty documents or benchmark: empty result, everything
 clean. Other columns are not read by ``matches``, and pass through ``clean``. Very long texts are searched
-whole, in slices of their words.
+whole, in overlapping parts of about 16,000 words.
 """
 
 from __future__ import annotations
@@ -38,9 +40,9 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import table, written
 from corvane.llm.vec import Spans, column_bytes, slices, word_spans
 
-PASSAGE, RANK, COSINE = 64, 48, 0.45
+PASSAGE, RANK, COSINE = 64, 64, 0.45
 LCS_SHARE, ANSWER_SHARE, SURE = 0.6, 0.5, 0.8
-MOST_ITEMS, SLICE = 100_000, 1 << 15
+MOST_ITEMS, GROUP = 100_000, 1 << 14
 ENCODED = "doc_id long, terms binary"
 RESULT = "doc_id long, item_id long, lcs_share double, answer_share double, start_word long, end_word long"
 
@@ -153,47 +155,82 @@ class Retrieval:
             v = np.stack([self.vectors[bench.items[k][1]].sum(axis=0) for k in which])
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             self.lengths[length] = np.array(which), v
+        # how often an item has a word: a table while it is small, else sorted keys
+        self.least = np.array([int(np.ceil(LCS_SHARE * len(seq))) for _, seq, _ in bench.items], np.int64)
+        every = np.concatenate([np.array(seq, np.int64) + k * bench.size for k, (_, seq, _) in enumerate(bench.items)])
+        self.keys, self.times = np.unique(every, return_counts=True)
+        self.table = np.zeros((len(bench.items), bench.size), np.uint16) if len(bench.items) * bench.size <= 1 << 27 else None
+        if self.table is not None:
+            self.table.reshape(-1)[self.keys] = self.times
+
+    def often(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """How often items have terms."""
+        if self.table is not None:
+            return self.table[item, term]
+        key = item * self.bench.size + term
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (term > 0), self.times[at], 0)
+
+    def enough(self, item: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Whether windows share enough words with items for the LCS: counts first, then with multiplicity."""
+        out = np.count_nonzero(self.often(item[:, None], near), axis=1) >= self.least[item]
+        spot = np.flatnonzero(out)
+        words = np.sort(near[spot], axis=1)
+        place = np.arange(words.shape[1])
+        new = np.ones(words.shape, bool)
+        new[:, 1:] = words[:, 1:] != words[:, :-1]
+        nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        out[spot] = np.count_nonzero(nth < self.often(item[spot, None], words), axis=1) >= self.least[item[spot]]
+        return out
 
-    def candidates(self, t: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Item, first word and length of windows with a high cosine."""
+    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Texts, items, first words and length of windows with a high cosine and enough words of the item."""
+        whole = np.concatenate(texts).astype(np.int64)
+        edge = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        sums = np.zeros((len(whole) + 1, self.vectors.shape[1]), np.float32)
+        np.cumsum(self.vectors[whole], axis=0, out=sums[1:])
         for length, (which, items) in self.lengths.items():
             step = length // 4
-            for at in range(0, max(1, len(t) - length + step), SLICE):
-                part = t[at : at + SLICE + length]
-                starts = np.arange(0, min(SLICE, max(1, len(t) - at - length + step)), step)
-                sums = np.zeros((len(part) + 1, self.vectors.shape[1]), np.float64)
-                np.cumsum(self.vectors[part], axis=0, out=sums[1:])
-                ends = np.minimum(starts + length, len(part))
-                v = (sums[ends] - sums[starts]).astype(np.float32)
-                norm = np.linalg.norm(v, axis=1)
-                v /= np.maximum(norm, 1e-9)[:, None]
-                for k in range(0, len(items), 4096):
-                    w, i = np.nonzero(v @ items[k : k + 4096].T >= COSINE)
-                    yield from zip(which[k + i].tolist(), (starts[w] + at).tolist(), [length] * len(w), strict=True)
+            many = np.maximum(-(-(np.diff(edge) - length) // step), 0) + 1  # the last window reaches the end
+            text = np.repeat(np.arange(len(texts)), many)
+            starts = edge[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+            ends = np.minimum(starts + length, edge[text + 1])
+            v = sums[ends] - sums[starts]
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            for k in range(0, len(items), 4096):
+                w, i = np.nonzero(v @ items[k : k + 4096].T >= COSINE)
+                for x in range(0, len(w), 1 << 13):
+                    win, item = w[x : x + (1 << 13)], which[k + i[x : x + (1 << 13)]]
+                    at = (starts[win] - length // 2)[:, None] + np.arange(2 * length)
+                    inside = (at >= edge[text[win]][:, None]) & (at < edge[text[win] + 1][:, None])
+                    ok = self.enough(item, np.where(inside, whole[np.clip(at, 0, len(whole) - 1)], 0))
+                    yield text[win][ok], item[ok], (starts[win] - edge[text[win]])[ok], length
 
     def search(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, int, int]]:
         """Text, item, shares and window of the best match of each pair."""
-        for n, text in enumerate(texts):
-            if not text.any():
-                continue
-            best: dict[int, tuple] = {}
-            # windows of short texts only differ by their ends
-            for k, at, length in self.candidates(text):
-                item_id, seq, answer = self.bench.items[k]
-                a, b = max(0, at - length // 2), min(len(text), at + length + length // 2)
-                if k in best and best[k][0] >= 1.0:
-                    continue
-                window = [x for x in text[a:b].tolist() if x]
-                if len(set(seq).intersection(window)) < LCS_SHARE * len(set(seq)) * 0.8:
-                    continue
-                share = lcs(seq, window) / len(seq)
-                if share < LCS_SHARE or k in best and best[k][0] >= share:
-                    continue
-                said = lcs(answer, window) / len(answer)
-                if said >= ANSWER_SHARE or share >= SURE:
-                    best[k] = share, said, a, b
-            for k, (share, said, a, b) in best.items():
-                yield n, self.bench.items[k][0], share, said, a, b
+        lap = 2 * max(self.lengths)
+        parts = [(n, at) for n, t in enumerate(texts) if t.any() for at in range(0, max(1, len(t) - lap), GROUP)]
+        done = 0
+        for group in grouped((texts[n][at : at + GROUP + lap] for n, at in parts), GROUP):
+            best: dict[tuple[int, int], tuple] = {}
+            for where, items, firsts, length in self.candidates(group):
+                for n, k, at in zip(where.tolist(), items.tolist(), firsts.tolist(), strict=True):
+                    item_id, seq, answer = self.bench.items[k]
+                    if (n, k) in best and best[n, k][0] >= 1.0:
+                        continue
+                    a, b = max(0, at - length // 2), min(len(group[n]), at + length + length // 2)
+                    window = group[n][a:b]
+                    window = window[self.often(np.full(len(window), k), window) > 0].tolist()
+                    share = lcs(seq, window) / len(seq)
+                    if share < LCS_SHARE or (n, k) in best and best[n, k][0] >= share:
+                        continue
+                    said = lcs(answer, window) / len(answer)
+                    if said >= ANSWER_SHARE or share >= SURE:
+                        best[n, k] = share, said, a, b
+            for (n, k), (share, said, a, b) in best.items():
+                text, at = parts[done + n]
+                yield text, self.bench.items[k][0], share, said, at + a, at + b
+            done += len(group)
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -262,8 +299,9 @@ def fit(spark: SparkSession, encoded: DataFrame, bench: Benchmark, rank: int = R
 
     rows = encoded.select("terms").mapInArrow(second, "term long, v array<double>").groupBy("term").agg(*(F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(rank))).orderBy("term").collect()
     small = np.array([r[1:] for r in rows], float).reshape(-1, rank) if rows else np.eye(rank)
-    _, turn = np.linalg.eigh(small) if small.shape == (rank, rank) else (0, np.eye(rank))
-    vectors = idf[:, None] * (basis @ turn[:, ::-1])
+    value, turn = np.linalg.eigh(small) if small.shape == (rank, rank) else (np.ones(rank), np.eye(rank))
+    scale = np.sqrt(np.maximum(value, max(value[-1], 1e-9) * 1e-9))
+    vectors = idf[:, None] * (basis @ (turn / scale))
     vectors[0] = 0
     return Retrieval(bench, vectors)
 
