@@ -12,9 +12,12 @@ a document with an empty register gets a longer one, so signatures are unbiased.
 1. Documents with equal multisets (128-bit sums of hashes) form classes; the smallest id stands for one.
 2. 25 bands of 5 registers: at similarity 0.8 all bands miss a pair with probability 5e-5.
 3. In each bucket all are compared with its smallest id, and links verified on the multisets make
-   components. Buckets that still hold several components compare every member outside the most
-   frequent one with all members of other components. So no pair that shares a bucket stays untested
-   unless it is linked already, and a bucket of g near copies costs g comparisons, not g * g.
+   components. Buckets that still hold several components get a second look: members carry a sketch of
+   512 registers of one byte, and every pair of different components, one of them not the most frequent,
+   whose sketches agree as often as a pair at the threshold does (less 4.5 standard deviations) is
+   verified too. So no pair that shares a bucket stays untested unless it is linked already or, but
+   for 3 in a million, not similar; and a bucket of g near copies costs g comparisons of texts, not
+   g * g. Large buckets are cut into blocks, and each pair of blocks is a group of its own.
 4. Components by alternating large and small stars, with all edges in tables.
 
 Sizes are filtered first (a ratio under the threshold can't reach it); nothing else is left out.
@@ -41,6 +44,7 @@ from corvane.llm.vec import Spans, column_bytes, mix, slices, word_spans
 U = np.uint64
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 REGISTERS = BANDS * ROWS
+SKETCH, SIGMAS, BLOCK = 512, 4.5, 2000
 SIGNED = "doc_id long, c1 long, c2 long, n long, bands array<long>"
 
 
@@ -104,6 +108,13 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: in
     return event
 
 
+def band_keys(events: np.ndarray) -> np.ndarray:
+    bands = np.zeros((len(events), BANDS), np.uint64)
+    for r in range(ROWS):
+        bands = mix(bands + events[:, r::ROWS])
+    return mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Multiset hash, size and band keys of each text; keys only for the first of each multiset in a batch."""
     for b in batches:
@@ -127,10 +138,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first[k] = True
             use = first[row]
             events = signatures(row[use], key[use], count[use], j - i)[first]
-            bands = np.zeros((len(events), BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = mix(bands + events[:, r::ROWS])
-            bands = mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+            bands = band_keys(events)
             ends = np.concatenate([[0], np.cumsum(first * BANDS)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(c1), pa.array(c2), pa.array(np.bincount(row, count, j - i).astype(np.int64)), lists], names=["doc_id", "c1", "c2", "n", "bands"])
@@ -147,6 +155,69 @@ def multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(both, pa.binary())], names=["id", "bag"])
 
 
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys and sketches of multisets, as bytes."""
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            part = b.slice(i, 64)
+            bags = part.column(1).to_pylist()
+            n = [len(x) // 12 for x in bags]
+            row = np.repeat(np.arange(len(bags)), n)
+            key = np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(bags, n, strict=True)])
+            count = np.concatenate([np.frombuffer(x, "<u4", k, 8 * k) for x, k in zip(bags, n, strict=True)]).astype(np.int64)
+            bands = band_keys(signatures(row, key, count, len(bags)))
+            fine = (signatures(row, mix(key), count, len(bags), SKETCH) & U(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["id", "keys", "sketch"])
+
+
+def crossed(threshold: float):
+    """Pairs worth verifying of sorted rows (key, lo, hi, block, rep, n, root, major, keys, sketch)."""
+    least = SKETCH * threshold - SIGMAS * np.sqrt(SKETCH * threshold * (1 - threshold))
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, lo, hi, block, rep, n, root, major = (group.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "rep", "n", "root", "major"))
+        keys = np.stack([np.frombuffer(x, "<i8") for x in group.column("keys").to_pylist()])
+        sketch = np.stack([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()])
+        left = np.flatnonzero(block == lo[0])
+        right = np.flatnonzero(block == hi[0])
+        for i in range(0, len(left), 256):
+            x = left[i : i + 256]
+            ok = (root[x][:, None] != root[right]) & ((root[x] != major[0])[:, None] | (root[right] != major[0]))
+            if lo[0] == hi[0]:
+                ok &= rep[x][:, None] < rep[right]
+            ok &= np.minimum(n[x][:, None], n[right]) >= threshold * np.maximum(n[x][:, None], n[right])
+            p, q = np.nonzero(ok)
+            for j in range(0, len(p), 1 << 14):
+                a, b = x[p[j : j + (1 << 14)]], right[q[j : j + (1 << 14)]]
+                near = np.count_nonzero(sketch[a] == sketch[b], axis=1) >= least
+                a, b = a[near], b[near]
+                # a pair comes from the first of the buckets that it shares
+                same = keys[a] == keys[b]
+                first = keys[a, same.argmax(axis=1)] == key[0]
+                a, b = a[first], b[first]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        mark = None
+        for b in batches:
+            at = list(zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True))
+            begin = 0
+            for i in range(len(at) + 1):
+                if i == len(at) or at[i] != mark:
+                    if i > begin:
+                        held.append(b.slice(begin, i - begin))
+                    if i < len(at):
+                        if held:
+                            yield from pairs(pa.Table.from_batches(held))
+                        held, begin, mark = [], i, at[i]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard index of two multisets."""
     na, nb = len(a) // 12, len(b) // 12
@@ -221,11 +292,19 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     # buckets that still hold several components
     known = buckets.select("key", "rep", "n").hint("merge").join(roots.hint("merge"), buckets["rep"] == roots["id"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     shares = known.groupBy("key", "root").agg(F.count("*").alias("many"))
-    major = shares.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("many", "root")).alias("top")).where("kinds > 1").select("key", F.col("top.root").alias("major"))
-    open_ = written(spark, known.hint("merge").join(major.hint("merge"), "key").select("key", "rep", "n", "root", "major"), "open")
-    x, y = open_.where("root <> major").alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))) & close(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
+    major = shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("many").alias("many"), F.max(F.struct("many", "root")).alias("top"))
+    major = major.where("kinds > 1").select("key", F.col("top.root").alias("major"), "many")
+    open_ = known.hint("merge").join(major.hint("merge"), "key").select("key", "rep", "n", "root", "major", "many")
+    open_ = written(spark, open_, "open")
+    doubtful = bags.hint("merge").join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    fine = doubtful.mapInArrow(sketched, "id long, keys binary, sketch binary")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    cells = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "root", "major")
+    cells = cells.hint("merge").join(fine.hint("merge"), F.col("rep") == F.col("id")).drop("id")
+    cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    rest = cells.mapInArrow(crossed(threshold), "a long, b long").distinct().hint("merge").join(stars.hint("merge"), ["a", "b"], "left_anti")
     more = written(spark, verified(rest, bags, threshold), "links")
     if more.head(1):
         roots = components(spark, links.union(more))

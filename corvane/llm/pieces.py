@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 import regex
 
-LIMIT = 300_000
+LIMIT = 450_000
 BATCH_CHARS = 1 << 20
 SIGNS = "\u20ac\u2192\u2022\u00a7\u00a9"
 GPT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,6 +77,7 @@ class Ids:
         size = self.library.get_vocab_size()
         self.begins = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.sign = next((c for c in SIGNS if len(self.library.encode(c, add_special_tokens=False).ids) == 1), None)
+        self.stops = {c: self.encode(c) for c in ".,"}
         self.pattern = regex.compile(GPT)
         self.tokens, self.plain, self.after = Cache(self.encode), Cache(self.encode), Cache(self.encode_after)
 
@@ -89,14 +90,19 @@ class Ids:
     def learn(self, pieces: set[str]) -> set[str]:
         """Puts pieces into the cache with few calls of the library; returns those that may join their neighbours."""
         cache = self.after if self.spaced else self.plain
-        fresh, joins = [], set()
+        fresh, joins, ended = set(), set(), []
         for p in pieces.difference(cache):
             if p in cache.old:
                 cache.put(p, cache.old[p])
             elif self.spaced and loose(p):
                 joins.add(p)
+            elif p[-1:] in self.stops and (q := p[:-1]).isalpha():
+                ended.append((p, q))  # letters and a stop are never one token
+                if q not in cache and q not in cache.old:
+                    fresh.add(q)
             elif self.special not in p and (self.spaced or self.sign and p and self.sign not in p):
-                fresh.append(p)
+                fresh.add(p)
+        fresh = list(fresh)
         for i in range(0, len(fresh), 4000):
             part = fresh[i : i + 4000]
             text = " " + " ".join(part) if self.spaced else f" {self.sign} ".join(part)
@@ -111,6 +117,8 @@ class Ids:
             for p, end in zip(part, (*ends.tolist(), len(got)), strict=True):
                 cache.put(p, raw[4 * begin : 4 * end])
                 begin = end + (not self.spaced)
+        for p, q in ended:
+            cache.put(p, cache[q] + self.stops[p[-1]])
         return joins
 
     def of_texts(self, texts: list[str | None]) -> Iterator[bytes]:
