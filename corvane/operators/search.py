@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,9 +14,11 @@ from corvane.plans.hits import find
 from corvane.sources.corpus import SENTENCE, Corpus
 
 
-def hits(corpora: list[Corpus], query: Query, plan: str | None = None, mode: str = "chars") -> DataFrame:
-    """corpus_no, corpus, sent, at: in every corpus, in the order given."""
-    parts = [find(c, query, plan, mode).select(F.lit(k).alias("corpus_no"), F.lit(c.name).alias("corpus"), F.col("sent").cast("long").alias("sent"), F.col("at").cast("long").alias("at")) for k, c in enumerate(corpora)]
+def hits(corpora: list[Corpus], query: Query, plan: str | None = None, mode: str = "chars", finder: Callable[[Corpus], DataFrame] | None = None) -> DataFrame:
+    """corpus_no, corpus, sent, at: in every corpus, in the order given. ``finder`` may take hits of a
+    corpus from elsewhere, such as the cache."""
+    finder = finder or (lambda c: find(c, query, plan, mode))
+    parts = [finder(c).select(F.lit(k).alias("corpus_no"), F.lit(c.name).alias("corpus"), F.col("sent").cast("long").alias("sent"), F.col("at").cast("long").alias("at")) for k, c in enumerate(corpora)]
     return reduce(DataFrame.union, parts)
 
 
@@ -28,14 +31,13 @@ def page(found: DataFrame, start: int = 0, num: int = 10, end: int | None = None
 
 
 def shown_features(corpus: Corpus, query: Query, show: list[str] | None = None) -> list[str]:
-    """``word`` first, then the features asked for, or those of the pattern."""
+    """``word`` first, then the features asked for, or those of the pattern in the order of the corpus."""
     if show:
         corpus.check(show)
         names = list(show)
     else:
-        names = [base_feature(f) for f in query.features]
-        if query.sentence_breaks:
-            names = [f for f in names if f != SENTENCE]
+        used = {base_feature(f) for f in query.features}
+        names = [f for f in corpus.features if f in used and (f != SENTENCE or not query.sentence_breaks)]
     if "word" in corpus.features:
         names = ["word", *(f for f in names if f != "word")]
     return list(dict.fromkeys(names))
@@ -46,11 +48,11 @@ def as_map(names: list[str]):
     return lambda t: F.create_map(*(x for f in names for x in (F.lit(f), t[column_name(f)])))
 
 
-def kwic(corpora: list[Corpus], query: Query, start: int = 0, num: int = 10, end: int | None = None, show: list[str] | None = None, plan: str | None = None) -> DataFrame:
-    """A row for each hit of a page: corpus, match (start, end, position), sentence, tokens (feature to
+def kwic(corpora: list[Corpus], query: Query, start: int = 0, num: int = 10, end: int | None = None, show: list[str] | None = None, plan: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """A row for each hit of a page (of ``found``, if given): corpus, match (start, end, position), sentence, tokens (feature to
     value). Only the sentences of the page are read in full: the page is a limit, so its side of the
     join is bounded and broadcast."""
-    rows = page(hits(corpora, query, plan), start, num, end)
+    rows = page(hits(corpora, query, plan) if found is None else found, start, num, end)
     parts = []
     for k, c in enumerate(corpora):
         names = shown_features(c, query, show)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -37,9 +38,9 @@ def values(corpus: Corpus, query: Query, found: DataFrame, group_by: list[str])
     return gathered.select("at", F.array(*(F.col(f"t.{c}") for c in cols)).alias("value"))
 
 
-def groups(corpus: Corpus, query: Query, group_by: list[str], sampling: int = 0, plan: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+def groups(corpus: Corpus, query: Query, group_by: list[str], sampling: int = 0, plan: str | None = None, found: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Counts and first positions of the groups of one corpus; hits, sampled hits and size."""
-    found = find(corpus, query, plan).select("sent", "at")
+    found = (find(corpus, query, plan) if found is None else found).select("sent", "at")
     total = found.count() if sampling > 0 else -1
     drawn = sample(found, total, sampling) if sampling > 0 else found
     rows = values(corpus, query, drawn, group_by).groupBy("value").agg(F.count("*").alias("absolute"), F.min("at").alias("first_at"))
@@ -63,11 +64,12 @@ def top(rows: DataFrame, num: int) -> DataFrame:
     return rows.limit(num) if num > 0 else rows
 
 
-def count(corpora: list[Corpus], query: Query, group_by: list[str], num: int = 10, sampling: int = 0) -> dict:
-    """Rows and sums of each corpus and of all together; combined groups come from all rows."""
+def count(corpora: list[Corpus], query: Query, group_by: list[str], num: int = 10, sampling: int = 0, finder: Callable[[Corpus], DataFrame] | None = None) -> dict:
+    """Rows and sums of each corpus and of all together; combined groups come from all rows. ``finder``
+    may take hits of a corpus from elsewhere, such as the cache."""
     parts, sums = [], []
     for k, c in enumerate(corpora):
-        rows, s = groups(c, query, group_by, sampling)
+        rows, s = groups(c, query, group_by, sampling, found=finder(c) if finder else None)
         parts.append(rows.withColumn("corpus_no", F.lit(k)).withColumn("corpus", F.lit(c.name)).withColumn("relative", relative(F.col("absolute"), s)))
         sums.append(s)
     every = reduce(DataFrame.unionByName, parts)
@@ -87,4 +89,5 @@ def pivot(every: DataFrame, names: list[str]) -> DataFrame:
 
 def sums_row(sums: dict[str, int]) -> dict:
     total, sampled, size = sums["total"], sums["sampled"], sums["size"]
-    return {"absolute": total, "total-hits": total, "sampled-hits": sampled, "corpus-size": size, "relative": 1e6 * total / size if size else 0.0}
+    """Sums as they are reported: ``absolute`` counts the hits that were drawn."""
+    return {"absolute": sampled, "total-hits": total, "sampled-hits": sampled, "corpus-size": size, "relative": 1e6 * total / size if size else 0.0}

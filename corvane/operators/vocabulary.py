@@ -5,24 +5,23 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.predicates import column_name
 from corvane.sources.corpus import Corpus
+from corvane.sources.order import running_sum
 
 
 def vocabulary(corpus: Corpus, features: list[str] | None = None) -> DataFrame:
-    """feature, symbol, value, freq: values in byte order, symbol 0 always the empty value. The ranking
-    is over distinct values; it is one task for each feature."""
+    """feature, symbol, value, freq: values in byte order, symbol 0 always the empty value. Values are
+    ranked within buckets of their first characters, so no task sees a whole vocabulary."""
     parts = []
     for f in features or corpus.features:
-        corpus.check([f])
-        seen = corpus.sentences.select(F.explode(column_name(f)).alias("value")).groupBy("value").agg(F.count("*").alias("freq"))
-        parts.append(seen.select(F.lit(f).alias("feature"), "value", "freq").union(seen.sparkSession.createDataFrame([(f, "", 0)], "feature string, value string, freq long")))
-    rows = reduce(DataFrame.union, parts).groupBy("feature", "value").agg(F.sum("freq").alias("freq"))
-    symbol = F.dense_rank().over(W.partitionBy("feature").orderBy("value")) - 1
-    return rows.select("feature", symbol.cast("long").alias("symbol"), "value", "freq")
+        seen = frequency(corpus, f)
+        rows = seen.union(seen.sparkSession.createDataFrame([("", 0)], "value string, freq long")).groupBy("value").agg(F.sum("freq").alias("freq"))
+        rows = running_sum(rows.withColumn("head", F.substring("value", 1, 3)), ["head"], ["value"], F.lit(1), "symbol")
+        parts.append(rows.select(F.lit(f).alias("feature"), "symbol", "value", "freq"))
+    return reduce(DataFrame.union, parts)
 
 
 def frequency(corpus: Corpus, feature: str) -> DataFrame:

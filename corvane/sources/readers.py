@@ -20,6 +20,7 @@ from corvane.lang import QueryError, feature_name
 from corvane.sources.order import running_sum
 
 COMPRESSED = (".gz", ".bz2", ".xz")
+BUCKET = 1 << 16
 CONLLU = "id form lemma upos xpos feats head deprel deps misc".split()
 
 
@@ -114,4 +115,5 @@ def _grouped(rows: DataFrame, names: list[str], exact: bool) -> DataFrame:
     tokens = rows.where("flag = 0").select("before", "line", cells.alias("cells")).select("before", "line", F.struct("line", *values).alias("t"))
     # array_sort of (line, ...) keeps the order of a sentence, whichever task read its lines
     out = tokens.groupBy("before").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return out.select(F.lit(0).alias("part"), F.col("before").alias("line"), *(F.col(f"t.{column_name(f)}").alias(column_name(f)) for f in names))
+    # buckets for the running sums that number sentences
+    return out.select(F.floor(F.col("before") / BUCKET).alias("part"), F.col("before").alias("line"), *(F.col(f"t.{column_name(f)}").alias(column_name(f)) for f in names))
