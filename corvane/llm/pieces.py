@@ -3,22 +3,26 @@
 A text is cut at single spaces. Where no two white-space characters meet, each piece with its
 leading space gives the same tokens alone as within its text, so pieces can be encoded once and
 looked up afterwards; any other text is cut by the tokenizer's own pattern instead. Pieces that
-are not in the cache go to the tokenizers library. Caches hold ``LIMIT`` entries and start anew
-when full, so memory stays bounded whatever the vocabulary of the corpus.
+are not in the cache are cut further where no token can cross: between letters and the stops after
+them, and at line ends. What is then still unknown goes to the tokenizers library, many pieces a
+call. Caches hold ``LIMIT`` entries and start anew when full, so memory stays bounded whatever the
+vocabulary of the corpus.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import regex
 
-LIMIT = 450_000
+LIMIT = 1_000_000  # entries of a cache, twice: its older generation stays until the next is full
 BATCH_CHARS = 1 << 20
+BATCH_PIECES = 400
+STOPS = ".,;:!?$#*"
 SIGNS = "\u20ac\u2192\u2022\u00a7\u00a9"
 GPT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,11 +61,19 @@ class Cache(dict):
 
     def put(self, key, value):
         if len(self) >= self.limit:
-            self.old = self.copy()
-            self.clear()
+            self.turn()
         self[key] = value
         return value
 
+    def extend(self, new: dict) -> None:
+        if len(self) + len(new) > self.limit:
+            self.turn()
+        self.update(new)
+
+    def turn(self) -> None:
+        self.old = self.copy()
+        self.clear()
+
 
 def loose(piece: str) -> bool:
     """Whether a piece may join the white space of its neighbours."""
@@ -69,17 +81,22 @@ def loose(piece: str) -> bool:
 
 
 class Ids:
-    """Little-endian 32-bit ids of texts, as bytes. ``spaced``: the vocabulary keeps a space with the word after it."""
+    """Little-endian 32-bit ids of texts, as bytes. ``spaced``: the vocabulary keeps a space with the word
+    after it and tells cases apart; else it drops white space and lower-cases."""
 
     def __init__(self, name: str, spaced: bool):
         self.library, self.spaced = tokenizer(name), spaced
         self.special = "<|endoftext|>"
         size = self.library.get_vocab_size()
         self.begins = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.sign = next((c for c in SIGNS if len(self.library.encode(c, add_special_tokens=False).ids) == 1), None)
-        self.stops = {c: self.encode(c) for c in ".,"}
+        # a character that is one token wherever it stands between pieces
+        signs = "\n" if spaced else SIGNS
+        self.sign = next((c for c in signs if len(self.library.encode(c, add_special_tokens=False).ids) == 1), None)
+        self.sign_id = self.library.encode(self.sign, add_special_tokens=False).ids[0] if self.sign else None
+        self.line_end = self.encode("\n")
         self.pattern = regex.compile(GPT)
-        self.tokens, self.plain, self.after = Cache(self.encode), Cache(self.encode), Cache(self.encode_after)
+        self.tokens, self.stops = Cache(self.encode), Cache(self.encode, 10_000)
+        self.plain, self.after = Cache(self.encode), Cache(self.encode_after)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -87,39 +104,73 @@ class Ids:
     def encode_after(self, piece: str) -> bytes:
         return self.encode(" " + piece)
 
-    def learn(self, pieces: set[str]) -> set[str]:
-        """Puts pieces into the cache with few calls of the library; returns those that may join their neighbours."""
-        cache = self.after if self.spaced else self.plain
-        fresh, joins, ended = set(), set(), []
-        for p in pieces.difference(cache):
-            if p in cache.old:
-                cache.put(p, cache.old[p])
+    def learn(self, pieces: Iterable[str], cache: Cache) -> dict[str, bytes]:
+        """Ids of pieces, which are then in the cache; without those that may join their neighbours."""
+        new: dict[str, bytes] = {}
+        fresh, ended, lines = set(), [], []
+        for p in pieces:
+            if (v := cache.old.get(p)) is not None:
+                new[p] = v
+                continue
+            q = p.rstrip(STOPS)
+            if q.isalpha():
+                key = q.lower() if not self.spaced and (q.isascii() or max(q) < "\u0250") else q
+                if key is not p and key != p:
+                    ended.append((p, key, p[len(q) :]))
+                if key not in new and key not in fresh:
+                    if (v := cache.get(key) or cache.old.get(key)) is None:
+                        fresh.add(key)
+                    else:
+                        new[key] = v
             elif self.spaced and loose(p):
-                joins.add(p)
-            elif p[-1:] in self.stops and (q := p[:-1]).isalpha():
-                ended.append((p, q))  # letters and a stop are never one token
-                if q not in cache and q not in cache.old:
-                    fresh.add(q)
-            elif self.special not in p and (self.spaced or self.sign and p and self.sign not in p):
+                continue
+            elif self.special in p:
+                new[p] = cache.make(p)
+            elif self.spaced and "\n" in p:
+                parts = p.split("\n")
+                if any(map(loose, parts)):
+                    fresh.add(p)
+                else:
+                    lines.append((p, parts))
+            elif not self.spaced and (not self.sign or self.sign in p):
+                new[p] = cache.make(p)
+            else:
                 fresh.add(p)
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 4000):
-            part = fresh[i : i + 4000]
-            text = " " + " ".join(part) if self.spaced else f" {self.sign} ".join(part)
-            got = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            if self.spaced:
-                ends = np.flatnonzero(self.begins[got])[1:]
+        if lines:
+            firsts, others = {x[0] for _, x in lines}, set(chain.from_iterable(x[1:] for _, x in lines))
+            first = self.known(firsts, cache)
+            other = self.known(others, self.plain)
+            for p, parts in lines:
+                new[p] = first[parts[0]] + b"".join(self.line_end + other[x] for x in parts[1:])
+        self.call(list(fresh), cache, new)
+        for p, q, stops in ended:
+            new[p] = new[q] + self.stops[stops] if stops else new[q]
+        cache.extend(new)
+        return new
+
+    def known(self, pieces: set[str], cache: Cache) -> dict[str, bytes]:
+        """Ids of pieces, from the cache or learned; empty pieces and those with white space at an end aren't among them."""
+        got = {p: v for p in pieces if (v := cache.get(p)) is not None}
+        return got | self.learn(pieces.difference(got), cache) if len(got) < len(pieces) else got
+
+    def call(self, pieces: list[str], cache: Cache, new: dict[str, bytes]) -> None:
+        """Encodes pieces, many in a call of the library."""
+        after = cache is self.after
+        for i in range(0, len(pieces), BATCH_PIECES):
+            part = pieces[i : i + BATCH_PIECES]
+            if after:
+                text = " " + " ".join(part)
             else:
-                ends = np.flatnonzero(got == self.library.encode(self.sign, add_special_tokens=False).ids[0])
+                text = ("\n" if self.spaced else f" {self.sign} ").join(part)
+            got = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.begins[got])[1:] if after else np.flatnonzero(got == self.sign_id)
             if len(ends) != len(part) - 1:
-                continue  # these are looked up one by one
+                new.update((p, cache.make(p)) for p in part)  # one by one
+                continue
             raw, begin = got.tobytes(), 0
             for p, end in zip(part, (*ends.tolist(), len(got)), strict=True):
-                cache.put(p, raw[4 * begin : 4 * end])
-                begin = end + (not self.spaced)
-        for p, q in ended:
-            cache.put(p, cache[q] + self.stops[p[-1]])
-        return joins
+                new[p] = raw[4 * begin : 4 * end]
+                begin = end + (not after)
 
     def of_texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order."""
@@ -134,20 +185,37 @@ class Ids:
         yield from self.of_group(group)
 
     def of_group(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.split(" ") for t in texts]
         if self.spaced:
-            joins = self.learn(set(chain.from_iterable(c[1:] for c in cut)))
-            free = [not loose(c[0]) and (not joins or joins.isdisjoint(c)) for c in cut]
+            cut = [t.split(" ") for t in texts]
+            heads = {c[0] for c in cut if not loose(c[0])}
+            first = self.known(heads, self.plain)
+            flat, cache = list(chain.from_iterable(c[1:] for c in cut)), self.after
         else:
-            self.learn(set(chain.from_iterable(cut)))
-            free = [True] * len(cut)
-        for text, c, ok in zip(texts, cut, free, strict=True):
-            if not ok:
-                yield self.encode(self.special).join(b"".join(map(self.tokens.__getitem__, self.pattern.findall(x))) for x in text.split(self.special)) if text else b""
-            elif self.spaced:
-                yield self.plain[c[0]] + b"".join(map(self.after.__getitem__, c[1:]))
+            # Python counts four control characters as white space that the vocabulary doesn't
+            cut = [t.split(" ") if any(x in t for x in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+            flat, cache = list(chain.from_iterable(cut)), self.plain
+        values = list(map(cache.get, flat))
+        missed = [i for i, v in enumerate(values) if v is None]
+        new = self.learn({flat[i] for i in missed}, cache)
+        for i in missed:
+            values[i] = new.get(flat[i])
+        at = 0
+        for text, c in zip(texts, cut, strict=True):
+            end = at + len(c) - self.spaced
+            part = values[at:end]
+            at = end
+            if not self.spaced:
+                yield b"".join(part)
+            elif c[0] in first and None not in part:
+                yield first[c[0]] + b"".join(part)
             else:
-                yield b"".join(map(self.plain.__getitem__, c))
+                yield self.of_odd(text)
+
+    def of_odd(self, text: str) -> bytes:
+        """Ids of a text in which white space meets: by the pattern, around special strings."""
+        if not text:
+            return b""
+        return self.encode(self.special).join(b"".join(map(self.tokens.__getitem__, self.pattern.findall(x))) for x in text.split(self.special))
 
     def __call__(self, text: str | None) -> bytes:
         return next(self.of_texts([text]))

@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.pieces import GPT, LIMIT, Cache, find, loose
+from corvane.llm.pieces import GPT, Cache, find, loose
 from corvane.llm.shared import table
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -55,9 +55,9 @@ class Merges:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.pattern = regex.compile(GPT)
-        self.words = Cache(self.of_word, 2 * LIMIT)
+        self.words = Cache(self.of_word)
         self.plain = Cache(self.of_text)
-        self.after = Cache(self.of_spaced, 2 * LIMIT)
+        self.after = Cache(self.of_spaced)
 
     def of_word(self, word: str) -> int:
         """Initial symbols less merges."""
