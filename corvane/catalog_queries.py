@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions.predicates import column_name
 from corvane.lang import parse
-from corvane.operators import search, statistics, vocabulary
+from corvane.operators import cache, search, statistics, vocabulary
 from corvane.plans import hits as plans
 from corvane.plans import indexes
-from corvane.sources.tables import corpus
+from corvane.sources import readers
+from corvane.sources.corpus import number, sanity, store
+from corvane.sources.tables import KINDS, corpus, root
+from corvane.streaming import ingest
 
 #: pattern, options, and the predicate of each token in SQL over aliases t0, t1, ...
 PATTERNS: dict[str, tuple[str, dict, list[str]]] = {
@@ -72,7 +76,11 @@ chat AS (
 EVENTS = """
 WITH tok AS (
   SELECT row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS at, dense_rank() OVER (ORDER BY user_id) AS sent,
-    event_type AS word FROM events)"""
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, event_type AS word, user_id::VARCHAR AS "user" FROM events)"""
+ORDERS = """
+WITH tok AS (
+  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS at,
+    dense_rank() OVER (ORDER BY l_orderkey) AS sent, l_returnflag AS word, l_linestatus AS status FROM lineitem)"""
 
 
 def hits_sql(preds: list[str], breaks: bool = True, table: str = "tok", base: str = TOKENS) -> str:
@@ -230,6 +238,79 @@ def events_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.find(c, parse(f'[word="{first}"] [] [word="{last}"]'))
 
 
+def orders_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.find(corpus(spark, sf_dir, "orders"), parse('[word="R" & status="F"] [] [word!="R" | status="O"]'))
+
+
+def regex_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A character that UTF-8 writes in two bytes is matched by two dots."""
+    return plans.find(corpus(spark, sf_dir), parse('[word="d.."]'), mode="bytes")
+
+
+def event_tokens(c) -> DataFrame:
+    return longs(c.tokens.select("at", "sent", "i", F.col("f_word").alias("word"), F.col("f_user").alias("user")), "at", "sent", "i")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def through_file(spark: SparkSession, sf_dir: str, suffix: str, head: str, line, gap: str, before: bool) -> DataFrame:
+    """The events corpus written as text in many part files, and read by the reader of the suffix."""
+    t = corpus(spark, sf_dir, "events").tokens
+    rows = t.select("sent", F.col("i").cast("int").alias("i"), line.alias("value"))
+    ends = t.where("i = 0").select("sent", F.lit(-1 if before else 1 << 30).alias("i"), F.lit(gap).alias("value"))
+    rows = rows.union(ends).union(spark.createDataFrame([(-1, 0, head)], "sent long, i int, value string"))
+    path = shared_path(spark, "events") + suffix
+    rows.repartitionByRange(8, "sent", "i").sortWithinPartitions("sent", "i").select("value").write.text(path)
+    lines, features = readers.sentences(spark, path)
+    return event_tokens(store(spark, shared_path(spark, "read"), "events", number(lines, ["part"], ["line"], features), features))
+
+
+def reader_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_file(spark, sf_dir, ".tsv", "word\tuser", F.concat_ws("\t", "f_word", "f_user"), "# ", True)
+
+
+def reader_conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws("\t", (F.col("i") + 1).cast("string"), "f_word", "f_user")
+    return through_file(spark, sf_dir, ".conllup", "# global.columns = ID WORD USER", line, "", False)
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events corpus ingested from a stream of files."""
+    lines, features = KINDS["events"](spark, sf_dir)
+    rows = lines.select(F.floor(F.col("sent") / 4096).alias("part"), F.col("sent").alias("line"), *map(column_name, features))
+    source, target = shared_path(spark, "stream"), shared_path(spark, "ingested")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    ingest.start(stream, target, features, shared_path(spark, "offsets")).awaitTermination()
+    return event_tokens(ingest.opened(spark, target, "events", features))
+
+
+def cached_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found once, then read from the cache."""
+    c, query, folder = corpus(spark, sf_dir), parse(PATTERNS["seq_two"][0]), shared_path(spark, "cache")
+    cache.cached(spark, folder, c, query)
+    return cache.cached(spark, folder, c, query)
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written beside its corpus, and a probe of it."""
+    c = corpus(spark, sf_dir, "events")
+    t = indexes.Template.parse("word:0+word:1+s:1#s")
+    try:
+        indexes.build(spark, shared_path(spark, "indexes"), c, t)
+        return indexes.probe(c, t, [*parse('[word="view"]').tokens[0].literals, *parse('[word="c.*"]').tokens[0].literals]).select("at")
+    finally:
+        c.indexes.clear()
+
+
+def sanity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of the invariants of stored corpora."""
+    rows = [(n, *sanity(corpus(spark, sf_dir, n)).values()) for n in ("docs", "events")]
+    return spark.createDataFrame(rows, "corpus string, repeated_positions long, missing_positions long, wrong_starts long, null_values long")
+
+
 GROUPS = f"""{TOKENS},
 hit AS (SELECT t0.at, t0.word || ' ' || t1.word AS value, t0.pos || ' ' || t1.pos AS tags, t0.lang || ' ' || t1.lang AS langs FROM tok t0 JOIN tok t1 ON t1.at = t0.at + 1 AND t1.sent = t0.sent
   WHERE t0.lemma = 'the' AND starts_with(t1.word, 'a')),
@@ -248,6 +329,7 @@ QUERIES |= {
         corpus_tokens, vocab, corpus_info, kwic_page, multi_corpus_page, hit_counts, in_sentences, reversed_feature,
         union_of_conjunctions, count_by_word, count_across_breaks, count_two_features, count_sampled, count_combined,
         count_pivot, group_count, postings_unary, postings_binary, postings_across_breaks, binary_min_frequency, index_probe, events_funnel,
+        orders_pattern, regex_bytes, reader_tsv, reader_conllu, stream_ingest, cached_hits, index_build, sanity_checks,
     )
 }
 
@@ -295,6 +377,12 @@ SELECT a.word AS v1, b.word AS v2, count(*) AS n, min(a.at) AS first_at, max(a.a
 WHERE a.word IN (FROM often) AND b.word IN (FROM often) GROUP BY 1, 2""",
     "index_probe": hits_sql(PATTERNS["seq_two"][2]),
     "events_funnel": hits_sql(["t0.word = 'view'", "true", "t2.word = 'purchase'"], base=EVENTS),
+    "orders_pattern": hits_sql(["t0.word = 'R' AND t0.status = 'F'", "true", "t2.word <> 'R' OR t2.status = 'O'"], base=ORDERS),
+    "regex_bytes": hits_sql(["starts_with(t0.word, 'd') AND strlen(t0.word) = 3"]),
+    **dict.fromkeys(("reader_tsv", "reader_conllu", "stream_ingest"), f"{EVENTS} SELECT at, sent, i, word, \"user\" FROM tok"),
+    "cached_hits": hits_sql(PATTERNS["seq_two"][2]),
+    "index_build": f"{EVENTS} SELECT a.at AS at FROM tok a JOIN tok b ON b.at = a.at + 1 AND b.sent = a.sent WHERE a.word = 'view' AND starts_with(b.word, 'c')",
+    "sanity_checks": "SELECT unnest(['docs', 'events']) AS corpus, 0 AS repeated_positions, 0 AS missing_positions, 0 AS wrong_starts, 0 AS null_values",
 }
 # ``at`` is a keyword of DuckDB
 ORACLE_SQL = {k: re.sub(r"(?<![\w.])at\b", '"at"', v) for k, v in ORACLE_SQL.items()}

@@ -49,7 +49,15 @@ def event_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]
     return number(rows, ["part"], ["user_id"], ["word", "user"]), ["word", "user"]
 
 
-KINDS = {"docs": docs_lines, "chat": chat_lines, "events": event_lines}
+def order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    keys = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *keys, "l_returnflag", "l_linestatus")
+    rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, "l_returnflag", "l_linestatus"))).alias("o"))
+    rows = rows.select(F.floor(F.col("l_orderkey") / WIDTH).alias("part"), "l_orderkey", F.col("o.l_returnflag").alias(c("word")), F.col("o.l_linestatus").alias(c("status")))
+    return number(rows, ["part"], ["l_orderkey"], ["word", "status"]), ["word", "status"]
+
+
+KINDS = {"docs": docs_lines, "chat": chat_lines, "events": event_lines, "orders": order_lines}
 
 
 def root(spark: SparkSession) -> str:
