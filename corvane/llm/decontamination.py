@@ -120,12 +120,24 @@ def passages(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate([*term, empty]).astype(np.int64), np.concatenate([*place, empty]), base
 
 
+def sums(rows: np.ndarray, which: np.ndarray, begin: np.ndarray, most: int = 2048) -> np.ndarray:
+    """Sums of ``rows[which]`` over the runs that start at ``begin``, a few thousand at a time: these
+    stay in the processor's cache."""
+    out = np.empty((len(begin), rows.shape[1]), rows.dtype)
+    ends = np.append(begin[1:], len(which))
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(ends, begin[i] + most, "right")))
+        out[i:j] = np.add.reduceat(rows[which[begin[i] : ends[j - 1]]], begin[i:j] - begin[i], axis=0)
+        i = j
+    return out
+
+
 def project(term: np.ndarray, place: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
     """Sums of basis rows of the terms of each passage (places ascend)."""
     out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(term):
-        begin = np.flatnonzero(np.diff(place, prepend=-1))
-        out[place[begin]] = np.add.reduceat(basis[term], begin, axis=0)
+    begin = np.flatnonzero(np.diff(place, prepend=-1))
+    out[place[begin]] = sums(basis, term, begin)
     return out
 
 
@@ -185,17 +197,22 @@ class Retrieval:
 
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """Texts, items, first words and length of windows with a high cosine and enough words of the item."""
-        whole = np.concatenate(texts).astype(np.int64)
-        edge = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        sums = np.zeros((len(whole) + 1, self.vectors.shape[1]), np.float32)
-        np.cumsum(self.vectors[whole], axis=0, out=sums[1:])
-        for length, (which, items) in self.lengths.items():
-            step = length // 4
-            many = np.maximum(-(-(np.diff(edge) - length) // step), 0) + 1  # the last window reaches the end
+        longest, step = max(self.lengths), min(self.lengths) // 4
+        # texts end in words outside the vocabulary, up to a multiple of the longest step
+        size = np.array([max(longest, -(-len(t) // (longest // 4)) * (longest // 4)) for t in texts])
+        edge = np.concatenate([[0], np.cumsum(size)])
+        whole = np.zeros(edge[-1], np.int64)
+        for t, e in zip(texts, edge.tolist(), strict=False):
+            whole[e : e + len(t)] = t
+        # sums over steps; those of longer steps come from shorter ones, and a window is four of them
+        parts = np.concatenate([self.vectors[whole[i : i + 2048]].reshape(-1, step, self.vectors.shape[1]).sum(axis=1) for i in range(0, len(whole), 2048)])
+        for length, (which, items) in sorted(self.lengths.items()):
+            while step < length // 4:
+                parts, step = parts[::2] + parts[1::2], 2 * step
+            many = np.maximum(-(-(np.array([len(t) for t in texts]) - length) // step), 0) + 1  # the last window reaches the end
             text = np.repeat(np.arange(len(texts)), many)
             starts = edge[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
-            ends = np.minimum(starts + length, edge[text + 1])
-            v = sums[ends] - sums[starts]
+            v = (parts[:-3] + parts[1:-2] + parts[2:-1] + parts[3:])[starts // step]
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             for k in range(0, len(items), 4096):
                 w, i = np.nonzero(v @ items[k : k + 4096].T >= COSINE)
@@ -249,6 +266,7 @@ def lcs(a: list[int], b: list[int]) -> int:
 def fit(spark: SparkSession, encoded: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 11) -> Retrieval:
     """The randomised SVD over all passages."""
     size = bench.size
+    rank = min(rank, size)
     probe = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
     held = spark.sparkContext.broadcast(probe)
 
@@ -260,11 +278,12 @@ def fit(spark: SparkSession, encoded: DataFrame, bench: Benchmark, rank: int = R
             if not len(term):
                 continue
             z = project(term, place, many, held.value)
-            order = np.argsort(term, kind="stable")
-            begin = np.flatnonzero(np.diff(term[order], prepend=-1))
-            total[term[order][begin]] += np.add.reduceat(z[place[order]], begin, axis=0)
-            pairs = np.unique(term * many + place)
-            often += np.bincount(pairs // many, minlength=size)
+            order = np.argsort(term.astype(np.uint16) if size <= 1 << 16 else term, kind="stable")
+            term, place = term[order], place[order]
+            begin = np.flatnonzero(np.diff(term, prepend=-1))
+            total[term[begin]] += sums(z, place, begin)
+            # a term counts once in a passage; its places ascend
+            often += np.bincount(term[(np.diff(term, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0)], minlength=size)
         seen = np.flatnonzero(often)
         often[0], seen = n, np.concatenate([[0], seen])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(often[seen]), pa.array(list(total[seen]), pa.list_(pa.float64()))], names=["term", "n", "v"])
@@ -300,8 +319,8 @@ def fit(spark: SparkSession, encoded: DataFrame, bench: Benchmark, rank: int = R
     rows = encoded.select("terms").mapInArrow(second, "term long, v array<double>").groupBy("term").agg(*(F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(rank))).orderBy("term").collect()
     small = np.array([r[1:] for r in rows], float).reshape(-1, rank) if rows else np.eye(rank)
     value, turn = np.linalg.eigh(small) if small.shape == (rank, rank) else (np.ones(rank), np.eye(rank))
-    scale = np.sqrt(np.maximum(value, max(value[-1], 1e-9) * 1e-9))
-    vectors = idf[:, None] * (basis @ (turn / scale))
+    real = value > max(value[-1], 1e-9) * 1e-6  # fewer than the rank where passages are few; the rest is rounding
+    vectors = idf[:, None] * (basis @ (turn[:, real] / np.sqrt(value[real]))) if real.any() else np.zeros((size, 1))
     vectors[0] = 0
     return Retrieval(bench, vectors)
 
@@ -344,8 +363,7 @@ def clean(spark: SparkSession, df: DataFrame, bench: Benchmark, text_col: str =
     """The rows without any item, with all columns."""
     if not bench.items:
         return df
-    id_col = df.columns[0]
-    encoded = encode(spark, df.select(F.lit(0).alias(id_col), df[text_col].alias("__text")), bench, id_col, "__text")
+    encoded = encode(spark, df.select(F.lit(0).alias("doc_id"), df[text_col].alias("text")), bench, "doc_id", "text")
     held = spark.sparkContext.broadcast(fit(spark, encoded, bench))
     at = df.columns.index(text_col)
 
