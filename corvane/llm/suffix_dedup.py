@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import table
+from corvane.llm.shared import table, unused
 from corvane.llm.vec import Spans, classes, column_bytes, mix
 
 LENGTH, GRAM, CROWD = 100, 32, 2000
@@ -361,16 +361,17 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     a document of which nothing is left is dropped."""
     kept = with_ranges(df, id_col, text_col).where("ranges is not null").select("doc_id", "text", "ranges")
 
+    key, left = unused(df, "key"), unused(df, "left")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [cut(t, s).decode("utf-8", "ignore") for t, s in each(b, 1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=["__id", "__text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=[key, left])
 
-    changed = kept.mapInArrow(run, "__id long, __text string")
-    out = df.join(changed, df[id_col].cast("long") == changed["__id"], "left")
-    text = F.when(F.col("__id").isNotNull(), F.col("__text")).otherwise(df[text_col])
-    cols = [text.alias(c) if c == text_col else df[c] for c in df.columns]
-    return out.where("__id is null or __text != ''").select(*cols)
+    changed = kept.mapInArrow(run, f"{key} long, {left} string")
+    out = df.join(changed, df[id_col].cast("long") == changed[key], "left").where(F.col(key).isNull() | (F.col(left) != ""))
+    text = F.when(F.col(key).isNotNull(), F.col(left)).otherwise(df[text_col])
+    return out.select(*(text.alias(c) if c == text_col else df[c] for c in df.columns))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
