@@ -13,9 +13,10 @@ a document with an empty register gets a longer one, so signatures are unbiased.
 2. 25 bands of 5 registers: at similarity 0.8 all bands miss a pair with probability 5e-5.
 3. In each bucket all are compared with its smallest id, and links verified on the multisets make
    components. Buckets that still hold several components get a second look: members carry a sketch of
-   512 registers of one byte, and every pair of different components, one of them not the most frequent,
-   whose sketches agree as often as a pair at the threshold does (less 4.5 standard deviations) is
-   verified too. So no pair that shares a bucket stays untested unless it is linked already or, but
+   512 registers of one byte. First each is verified with the member of another component whose sketch
+   agrees most; then every pair of components that are still different, one of them not the most
+   frequent, whose sketches agree as often as a pair at the threshold does (less 4.5 standard
+   deviations). So no pair that shares a bucket stays untested unless it is linked already or, but
    for 3 in a million, not similar; and a bucket of g near copies costs g comparisons of texts, not
    g * g. Large buckets are cut into blocks, and each pair of blocks is a group of its own.
 4. Components by alternating large and small stars, with all edges in tables.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import dropped, table, written
+from corvane.llm.shared import dropped, table, unused, written
 from corvane.llm.vec import Spans, column_bytes, mix, slices, word_spans
 
 U = np.uint64
@@ -170,8 +171,9 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["id", "keys", "sketch"])
 
 
-def crossed(threshold: float):
-    """Pairs worth verifying of sorted rows (key, lo, hi, block, rep, n, root, major, keys, sketch)."""
+def crossed(threshold: float, nearest: bool):
+    """Pairs worth verifying of sorted rows (key, lo, hi, block, rep, n, root, major, keys, sketch);
+    ``nearest``: for each row only the one whose sketch agrees most."""
     least = SKETCH * threshold - SIGMAS * np.sqrt(SKETCH * threshold * (1 - threshold))
 
     def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -187,14 +189,18 @@ def crossed(threshold: float):
                 ok &= rep[x][:, None] < rep[right]
             ok &= np.minimum(n[x][:, None], n[right]) >= threshold * np.maximum(n[x][:, None], n[right])
             p, q = np.nonzero(ok)
+            alike = np.concatenate([np.count_nonzero(sketch[x[p[j : j + (1 << 14)]]] == sketch[right[q[j : j + (1 << 14)]]], axis=1) for j in range(0, len(p), 1 << 14)] or [p])
+            p, q, alike = p[alike >= least], q[alike >= least], alike[alike >= least]
+            if nearest and len(p):
+                order = np.lexsort((alike, p))
+                top = order[np.flatnonzero(np.diff(p[order], append=-1))]
+                p, q = p[top], q[top]
             for j in range(0, len(p), 1 << 14):
                 a, b = x[p[j : j + (1 << 14)]], right[q[j : j + (1 << 14)]]
-                near = np.count_nonzero(sketch[a] == sketch[b], axis=1) >= least
-                a, b = a[near], b[near]
-                # a pair comes from the first of the buckets that it shares
-                same = keys[a] == keys[b]
-                first = keys[a, same.argmax(axis=1)] == key[0]
-                a, b = a[first], b[first]
+                if not nearest:  # a pair comes from the first of the buckets that it shares
+                    same = keys[a] == keys[b]
+                    first = keys[a, same.argmax(axis=1)] == key[0]
+                    a, b = a[first], b[first]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
 
@@ -289,25 +295,31 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     bags = written(spark, texts.mapInArrow(multisets, "id long, bag binary"), "bags")
     links = written(spark, verified(stars, bags, threshold), "links")
     roots = components(spark, links)
-    # buckets that still hold several components
-    known = buckets.select("key", "rep", "n").hint("merge").join(roots.hint("merge"), buckets["rep"] == roots["id"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    shares = known.groupBy("key", "root").agg(F.count("*").alias("many"))
-    major = shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("many").alias("many"), F.max(F.struct("many", "root")).alias("top"))
-    major = major.where("kinds > 1").select("key", F.col("top.root").alias("major"), "many")
-    open_ = known.hint("merge").join(major.hint("merge"), "key").select("key", "rep", "n", "root", "major", "many")
-    open_ = written(spark, open_, "open")
-    doubtful = bags.hint("merge").join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    fine = doubtful.mapInArrow(sketched, "id long, keys binary, sketch binary")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    cells = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "root", "major")
-    cells = cells.hint("merge").join(fine.hint("merge"), F.col("rep") == F.col("id")).drop("id")
-    cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    rest = cells.mapInArrow(crossed(threshold), "a long, b long").distinct().hint("merge").join(stars.hint("merge"), ["a", "b"], "left_anti")
-    more = written(spark, verified(rest, bags, threshold), "links")
-    if more.head(1):
-        roots = components(spark, links.union(more))
+    # buckets that still hold several components: first each member's nearest other component, then all
+    tested, fine = stars, None
+    for nearest in (True, False):
+        known = buckets.select("key", "rep", "n").hint("merge").join(roots.hint("merge"), buckets["rep"] == roots["id"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+        shares = known.groupBy("key", "root").agg(F.count("*").alias("many"))
+        major = shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("many").alias("many"), F.max(F.struct("many", "root")).alias("top"))
+        major = major.where("kinds > 1").select("key", F.col("top.root").alias("major"), "many")
+        open_ = known.hint("merge").join(major.hint("merge"), "key").select("key", "rep", "n", "root", "major", "many")
+        open_ = written(spark, open_, "open")
+        if fine is None:
+            doubtful = bags.hint("merge").join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+            fine = written(spark, doubtful.mapInArrow(sketched, "id long, keys binary, sketch binary"), "sketches")
+        blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+        cells = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "root", "major")
+        cells = cells.hint("merge").join(fine.hint("merge"), F.col("rep") == F.col("id")).drop("id")
+        cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        pairs = cells.mapInArrow(crossed(threshold, nearest), "a long, b long").distinct().hint("merge").join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = written(spark, pairs, "pairs")
+        more = written(spark, verified(pairs, bags, threshold), "links")
+        tested = tested.union(pairs)
+        if more.head(1):
+            links = links.union(more)
+            roots = components(spark, links)
     named = reps.select("c1", "c2", "rep").hint("merge").join(roots.hint("merge"), F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("root", "rep").alias("class_id"))
     out = base.select("doc_id", "c1", "c2").hint("merge").join(named.hint("merge"), ["c1", "c2"])
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
@@ -315,10 +327,11 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
 
 def keep(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, with all columns."""
-    kept = classes_of(spark, df, id_col, text_col, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__kept"))
-    out = df.hint("merge").join(kept.hint("merge"), df[id_col].cast("long") == F.col("__kept"), "left_semi")
-    first = F.row_number().over(W.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).cast("string")))
-    return out.withColumn("__first", first).where("__first = 1").drop("__first")
+    kept, first = unused(df, "kept"), unused(df, "first")
+    ids = classes_of(spark, df, id_col, text_col, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(kept))
+    out = df.hint("merge").join(ids.hint("merge"), df[id_col].cast("long") == F.col(kept), "left_semi")
+    number = F.row_number().over(W.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).cast("string")))
+    return out.withColumn(first, number).where(F.col(first) == 1).drop(first)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
