@@ -1,14 +1,15 @@
 """Chat formatting with typed content parts (operator 3).
 
 A turn has a role and content parts; a visitor turns each part into text of the output: text is
-escaped, images, audio and documents become numbered placeholders, and their references and expanded
-token counts are recorded in order. Each turn is ``<|im_start|>role\\ncontent<|im_end|>\\n``. In text,
+escaped, images, audio and documents become placeholders, numbered within the turn, and their references
+and expanded token counts are recorded in order. Each turn is ``<|im_start|>role\\ncontent<|im_end|>\\n``. In text,
 ``<|`` gets a backslash inside, and one more if there are some, so no text can form a control string
 and the original comes back exactly. The loss mask covers the escaped text parts of assistant turns.
 
-Turns are dealt by conversation and sorted; each task writes its conversations in turn, in chunks of
-about a million characters, and holds one chunk. A conversation with a third of all rows is written
-by one task, since its digest is one sequence, but never held as a whole.
+Turns are dealt by ranges of conversation and turn, so a conversation with a third of all rows is formatted
+by many tasks; each writes chunks of about a million characters and holds one. Only the digest of a
+conversation is one sequence: one task reads its chunks in order, a chunk at a time, each checked off into
+the two running hashes.
 
 Defined results. Null text: empty. Null role: empty. Null conversation id: a conversation of its own.
 Null turns first; turns with equal numbers by role, then text. Repeated rows: repeated turns. Empty
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +66,14 @@ class Flattener:
     size: int = 0
     loss: list[dict] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
-    seen: int = 0  # attachments of the conversation so far
+    seen: int = 0  # attachments of the turn so far
 
     def put(self, text: str) -> None:
         self.pieces.append(text)
         self.size += len(text)
 
     def turn(self, number: int | None, role: str, parts: list[dict]) -> None:
+        self.seen = 0
         self.put(START + escape_role(role) + "\n")
         for p in parts:
             visit = getattr(self, f"visit_{p['kind']}", None)
@@ -118,8 +121,9 @@ def text_parts(text) -> F.Column:
 
 
 def format_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted turns to chunks."""
-    conv, chunk, begun, f = None, 0, False, Flattener()
+    """Sorted turns to chunks, numbered on from the partition, which is a range."""
+    conv, begun, f = None, False, Flattener()
+    chunk = TaskContext.get().partitionId() << 32
 
     def flush() -> pa.RecordBatch:
         text, loss, attached = f.chunk()
@@ -130,9 +134,7 @@ def format_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, number, role, parts in zip(*(col.to_pylist() for col in b.columns), strict=True):
             if begun and (c != conv or f.size > CHUNK):
                 rows.append(flush())
-                chunk = chunk + 1 if c == conv else 0
-                if c != conv:
-                    f = Flattener()
+                chunk += 1
             conv, begun = c, True
             f.turn(number, role, parts or [])
             if len(rows) > 500 or f.size > CHUNK // 4:
@@ -154,7 +156,8 @@ def write(spark: SparkSession, df: DataFrame, conv_col: str = "conv_id", turn_co
     parts = df[parts_col] if parts_col else text_parts(F.coalesce(df[text_col].cast("string"), F.lit("")))
     key = parts.cast("string") if parts_col else df[text_col].cast("string")
     turns = df.select(df[conv_col].cast("long").alias("conv_id"), df[turn_col].cast("long").alias("turn"), F.coalesce(df[role_col].cast("string"), F.lit("")).alias("role"), parts.alias("parts"), F.coalesce(key, F.lit("")).alias("key"))
-    sorted_ = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "key").drop("key")
+    order = ("conv_id", "turn", "role", "key")
+    sorted_ = turns.repartitionByRange(*order).sortWithinPartitions(*order).drop("key")
     return written(spark, sorted_.mapInArrow(format_turns, CHUNKS), "conversations")
 
 
