@@ -1,7 +1,7 @@
 """A quality classifier on supervised subword embeddings (operator 4).
 
-Features of a document are its words and the character 3-, 4- and 5-grams of its words with their
-boundaries, hashed to ``BUCKETS`` learned vectors; the document vector is their average and a softmax
+Features of a document are its words, pairs of equal words up to four words apart (one feature for
+each distance), and the character 3-, 4- and 5-grams of its words with their boundaries, hashed to ``BUCKETS`` learned vectors; the document vector is their average and a softmax
 gives the two classes. Vectors and output weights are trained on the driver by stochastic gradient
 descent in numpy, on a bounded sample: at most ``MOST_ROWS`` labelled documents (those with the
 smallest hashes of their ids) of at most ``MOST_BYTES`` bytes each. Scoring covers every whole text:
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import table
 from corvane.llm.vec import WHITE, Spans, column_bytes, slices, word_spans
 
-BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
+BUCKETS, WIDTH, GRAMS, LAGS = 1 << 17, 8, (3, 4, 5), (1, 2, 3, 4)
 MOST_ROWS, MOST_BYTES, EPOCHS, RATE, BATCH = 4000, 20_000, 6, 0.5, 32
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -41,7 +41,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     flat = np.where(white, np.uint8(32), data)
     spans = Spans(flat)
     starts, ends, row = word_spans(data, offsets)
-    buckets, rows = [spans.hash(starts, ends) & np.uint64(BUCKETS - 1)], [row]
+    words = spans.hash(starts, ends)
+    buckets, rows = [words & np.uint64(BUCKETS - 1)], [row]
+    for lag in LAGS:  # word pairs of which only their equality matters
+        same = np.flatnonzero((words[lag:] == words[:-lag]) & (row[lag:] == row[:-lag]))
+        buckets.append(np.full(len(same), lag, np.uint64))
+        rows.append(row[same])
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     lead_row = np.searchsorted(offsets, lead, "right") - 1
     gap = np.concatenate([[0], np.cumsum(white[lead])])
@@ -141,9 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_b
     """Fits the model on labelled documents that aren't held out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = known.join(docs.where((F.octet_length("text") <= most_bytes)).select("doc_id", "text"), "doc_id").select("doc_id", "text", "label").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")[: 2 * most_rows]
-    rows = rows.take(order)
+    texts = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text")
+    rows = known.join(texts, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).toArrow()
+    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))
     return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64))
 
 
