@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import table, written
+from corvane.llm.shared import small_batches, table, written
 from corvane.llm.vec import Spans, column_bytes, slices, word_spans
 
 PASSAGE, RANK, COSINE = 64, 64, 0.45
@@ -326,6 +326,7 @@ def fit(spark: SparkSession, encoded: DataFrame, bench: Benchmark, rank: int = R
 
 
 def encode(spark: SparkSession, df: DataFrame, bench: Benchmark, id_col: str, text_col: str) -> DataFrame:
+    small_batches(spark)
     held = spark.sparkContext.broadcast(bench)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import dropped, table, unused, written
+from corvane.llm.shared import dropped, small_batches, table, unused, written
 from corvane.llm.vec import Spans, column_bytes, mix, slices, word_spans
 
 U = np.uint64
@@ -117,11 +117,11 @@ def band_keys(events: np.ndarray) -> np.ndarray:
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Multiset hash, size and band keys of each text; keys only for the first of each multiset in a batch."""
+    """Multiset hash, size and band keys of each text; keys only for the first of each multiset in a task."""
+    seen: set[tuple[int, int]] = set()
     for b in batches:
         data, offsets = column_bytes(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        seen: set[tuple[int, int]] = set()
         for i, j in slices(offsets):
             row, key, count = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             bounds = np.searchsorted(row, np.arange(j - i + 1))
@@ -280,6 +280,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its group of near copies."""
+    small_batches(spark)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null")
     base = written(spark, docs.mapInArrow(signed, SIGNED), "signed")
     reps = base.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max(F.when(F.size("bands") > 0, F.col("bands"))).alias("bands"))

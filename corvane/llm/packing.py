@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.pieces import ids
-from corvane.llm.shared import table, written
+from corvane.llm.shared import small_batches, table, written
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -117,6 +117,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[
 
 def pack(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", spaced: bool = False, end_id: int = 1) -> DataFrame:
     """A row for each piece, with its sequence and its place there."""
+    small_batches(spark)
     pieces = written(spark, cut_pieces(df, id_col, text_col, capacity, vocabulary, spaced, end_id), "pieces")
     histogram = dict(pieces.groupBy("length").count().collect())  # capacity rows at most
     places = {x: np.array(rows, np.int64) for x, rows in plan(histogram, capacity).items()}

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.shared import table
+from corvane.llm.shared import small_batches, table
 from corvane.llm.vec import Spans, classes, column_bytes, mix, row_sums, slices, word_spans
 
 SYMBOLS = np.zeros(256, bool)
@@ -150,6 +150,8 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, spans: Spans, words: np.nd
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
     """A row of counts and the verdict for each row of ``df``."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = measure(b.column(1), **limits)
@@ -162,6 +164,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limit
 def keep(df: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
     """The rows of ``df`` that pass, with all their columns."""
     at = df.columns.index(text_col)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

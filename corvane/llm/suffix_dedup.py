@@ -23,7 +23,7 @@ crowded anchors. The text is shuffled once, by id; both joins and step 1 read th
 Defined results. Null or empty text: nothing removed. Rows with one doc_id count as one document with
 the smallest of their texts; rows with a null doc_id are left out. Empty table: empty result. Other
 columns, whatever their names, are not read by ``spans``; ``remove`` passes them through. Texts under
-100 bytes lose nothing. Very long texts are processed whole, in pieces of about a megabyte.
+100 bytes lose nothing. Very long texts are processed whole, in pieces of a quarter of a megabyte.
 """
 
 from __future__ import annotations
@@ -37,13 +37,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import table, unused
-from corvane.llm.vec import Spans, classes, column_bytes, mix
+from corvane.llm.shared import small_batches, table, unused
+from corvane.llm.vec import Spans, classes, column_bytes, mix, slices
 
 LENGTH, GRAM, CROWD = 100, 32, 2000
 WINDOW = LENGTH - GRAM + 1
-PIECE = 1 << 20
-SLAB = 2 << 20
+PIECE, SLAB, PART = 1 << 18, 1 << 19, 8 << 20  # bytes worked on at once: a text, runs of one task, texts of one task
 U = np.uint64
 RUN = "fp long, h long, doc long, at long"  # at: first window << 16 | anchor - first window << 8 | windows; 0 windows: a removed range of windows up to h
 ROW = "fp long, h long, doc long, at long, body binary"
@@ -132,22 +131,27 @@ def batch(fp, h, doc, at, body=None) -> pa.RecordBatch:
 
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1."""
+    """Step 1, over some megabytes at a time."""
     for b in batches:
         data, offsets = column_bytes(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        fp, h, row, start, anchor, many = runs(data, offsets)
-        doc = ids[row]
-        order = np.lexsort((start, doc, h, fp))
-        fp, h, doc, start, anchor, many = (x[order] for x in (fp, h, doc, start, anchor, many))
-        later = np.zeros(len(fp), bool)
-        later[1:] = (fp[1:] == fp[:-1]) & (h[1:] == h[:-1])
-        at = start << 16 | (anchor - start) << 8 | many
-        if (~later).any():
-            yield batch(fp[~later], h[~later], doc[~later], at[~later])
-        if later.any():
-            d, s, e = removed_rows(doc[later], start[later], many[later])
-            yield batch(mix(d.astype(np.uint64)), e, d, s << 16)
+        for i, j in slices(offsets, PART):
+            yield from _found(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j])
+
+
+def _found(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    fp, h, row, start, anchor, many = runs(data, offsets)
+    doc = ids[row]
+    order = np.lexsort((start, doc, h, fp))
+    fp, h, doc, start, anchor, many = (x[order] for x in (fp, h, doc, start, anchor, many))
+    later = np.zeros(len(fp), bool)
+    later[1:] = (fp[1:] == fp[:-1]) & (h[1:] == h[:-1])
+    at = start << 16 | (anchor - start) << 8 | many
+    if (~later).any():
+        yield batch(fp[~later], h[~later], doc[~later], at[~later])
+    if later.any():
+        d, s, e = removed_rows(doc[later], start[later], many[later])
+        yield batch(mix(d.astype(np.uint64)), e, d, s << 16)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
@@ -339,6 +343,7 @@ def each(b: pa.RecordBatch, text: int, lists: int) -> Iterator[tuple[bytes, list
 
 def with_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and the removed ranges of windows of each document."""
+    small_batches(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null")
     docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     found = docs.mapInArrow(find_runs, RUN).repartition("fp").mapInArrow(by_anchor, RUN)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.pieces import ids
-from corvane.llm.shared import table, written
+from corvane.llm.shared import small_batches, table, written
 
 BLOCK = 256
 SHARD = 1 << 20
@@ -150,6 +150,7 @@ def write(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
         if docs:
             yield shard()
 
+    small_batches(spark)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     return written(spark, docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILES), "token_files")
 
