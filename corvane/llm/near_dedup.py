@@ -297,7 +297,7 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     links = written(spark, verified(stars, bags, threshold), "links")
     roots = components(spark, links)
     # buckets that still hold several components: first each member's nearest other component, then all
-    tested, fine = stars, None
+    tested, fine, held = stars, None, [buckets, bags, links]
     for nearest in (True, False):
         known = buckets.select("key", "rep", "n").hint("merge").join(roots.hint("merge"), buckets["rep"] == roots["id"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
         shares = known.groupBy("key", "root").agg(F.count("*").alias("many"))
@@ -305,9 +305,11 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
         major = major.where("kinds > 1").select("key", F.col("top.root").alias("major"), "many")
         open_ = known.hint("merge").join(major.hint("merge"), "key").select("key", "rep", "n", "root", "major", "many")
         open_ = written(spark, open_, "open")
+        held.append(open_)
         if fine is None:
             doubtful = bags.hint("merge").join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
             fine = written(spark, doubtful.mapInArrow(sketched, "id long, keys binary, sketch binary"), "sketches")
+            held.append(fine)
         blocks = F.ceil(F.col("many") / BLOCK).cast("int")
         cells = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -317,10 +319,13 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
         pairs = cells.mapInArrow(crossed(threshold, nearest), "a long, b long").distinct().hint("merge").join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = written(spark, pairs, "pairs")
         more = written(spark, verified(pairs, bags, threshold), "links")
+        held += [pairs, more]
         tested = tested.union(pairs)
         if more.head(1):
             links = links.union(more)
             roots = components(spark, links)
+    for unneeded in held:
+        dropped(spark, unneeded)
     named = reps.select("c1", "c2", "rep").hint("merge").join(roots.hint("merge"), F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("root", "rep").alias("class_id"))
     out = base.select("doc_id", "c1", "c2").hint("merge").join(named.hint("merge"), ["c1", "c2"])
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
