@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import dropped, small_batches, table, unused, written
-from corvane.llm.vec import Spans, column_bytes, mix, slices, word_spans
+from corvane.llm.vec import Spans, column_bytes, mix, release, slices, word_spans
 
 U = np.uint64
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
@@ -118,6 +118,7 @@ def band_keys(events: np.ndarray) -> np.ndarray:
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Multiset hash, size and band keys of each text; keys only for the first of each multiset in a task."""
+    release()
     seen: set[tuple[int, int]] = set()
     for b in batches:
         data, offsets = column_bytes(b.column(1))
@@ -205,6 +206,7 @@ def crossed(threshold: float, nearest: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         mark = None
         for b in batches:

@@ -19,7 +19,9 @@ from itertools import chain
 import numpy as np
 import regex
 
-LIMIT = 1_000_000  # entries of a cache, twice: its older generation stays until the next is full
+from corvane.llm.vec import KEPT
+
+LIMIT = 600_000  # entries of a cache, twice: its older generation stays until the next is full
 BATCH_CHARS = 1 << 20
 BATCH_PIECES = 400
 STOPS = ".,;:!?$#*"
@@ -106,22 +108,24 @@ class Ids:
 
     def learn(self, pieces: Iterable[str], cache: Cache) -> dict[str, bytes]:
         """Ids of pieces, which are then in the cache; without those that may join their neighbours."""
-        new: dict[str, bytes] = {}
-        fresh, ended, lines = set(), [], []
-        for p in pieces:
-            if (v := cache.old.get(p)) is not None:
-                new[p] = v
-                continue
+        pieces = list(pieces)
+        before = list(map(cache.old.get, pieces))
+        new = {p: v for p, v in zip(pieces, before, strict=True) if v is not None}
+        fresh, ended, once, lines = set(), [], [], []
+        for p in (p for p, v in zip(pieces, before, strict=True) if v is None):
             q = p.rstrip(STOPS)
             if q.isalpha():
                 key = q.lower() if not self.spaced and (q.isascii() or max(q) < "\u0250") else q
-                if key is not p and key != p:
-                    ended.append((p, key, p[len(q) :]))
+                ends = key is not p and key != p
                 if key not in new and key not in fresh:
                     if (v := cache.get(key) or cache.old.get(key)) is None:
                         fresh.add(key)
-                    else:
-                        new[key] = v
+                        if ends:
+                            once.append((p, key, p[len(q) :]))
+                        continue
+                    new[key] = v
+                if ends:
+                    ended.append((p, key, p[len(q) :]))
             elif self.spaced and loose(p):
                 continue
             elif self.special in p:
@@ -136,16 +140,18 @@ class Ids:
                 new[p] = cache.make(p)
             else:
                 fresh.add(p)
-        if lines:
-            firsts, others = {x[0] for _, x in lines}, set(chain.from_iterable(x[1:] for _, x in lines))
-            first = self.known(firsts, cache)
-            other = self.known(others, self.plain)
-            for p, parts in lines:
-                new[p] = first[parts[0]] + b"".join(self.line_end + other[x] for x in parts[1:])
         self.call(list(fresh), cache, new)
         for p, q, stops in ended:
             new[p] = new[q] + self.stops[stops] if stops else new[q]
         cache.extend(new)
+        # these are hardly asked for again: they would only push others out
+        for p, q, stops in once:
+            new[p] = new[q] + self.stops[stops] if stops else new[q]
+        if lines:
+            first = self.known({x[0] for _, x in lines}, cache)
+            other = self.known(set(chain.from_iterable(x[1:] for _, x in lines)), self.plain)
+            for p, parts in lines:
+                new[p] = first[parts[0]] + b"".join(self.line_end + other[x] for x in parts[1:])
         return new
 
     def known(self, pieces: set[str], cache: Cache) -> dict[str, bytes]:
@@ -225,3 +231,6 @@ class Ids:
 def ids(name: str, spaced: bool) -> Ids:
     """One cache for each worker process, which Spark uses for many tasks."""
     return Ids(name, spaced)
+
+
+KEPT.append(ids.cache_clear)

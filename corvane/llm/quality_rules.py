@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.shared import small_batches, table
-from corvane.llm.vec import Spans, classes, column_bytes, mix, row_sums, slices, word_spans
+from corvane.llm.vec import Spans, classes, column_bytes, mix, release, row_sums, slices, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -167,6 +167,7 @@ def keep(df: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             yield b.filter(pa.array(measure(b.column(at), **limits)["kept"]))
 

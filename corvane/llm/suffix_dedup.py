@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import small_batches, table, unused
-from corvane.llm.vec import Spans, classes, column_bytes, mix, slices
+from corvane.llm.vec import Spans, classes, column_bytes, mix, release, slices
 
 LENGTH, GRAM, CROWD = 100, 32, 2000
 WINDOW = LENGTH - GRAM + 1
@@ -132,6 +132,7 @@ def batch(fp, h, doc, at, body=None) -> pa.RecordBatch:
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1, over some megabytes at a time."""
+    release()
     for b in batches:
         data, offsets = column_bytes(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)

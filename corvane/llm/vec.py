@@ -7,7 +7,7 @@ spans of different lengths cost the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,16 @@ WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 
 
+#: Clears what an operator keeps in a worker process from task to task.
+KEPT: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Python workers serve one operator after another: the next one frees what others have kept."""
+    for clear in KEPT:
+        clear()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """MULT**i and MULT**-i for i < n."""
     if len(_POWERS.get("up", ())) < n:
