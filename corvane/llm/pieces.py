@@ -21,7 +21,7 @@ import regex
 
 from corvane.llm.vec import KEPT
 
-LIMIT = 600_000  # entries of a cache, twice: its older generation stays until the next is full
+LIMIT = 850_000  # entries of a cache, twice: its older generation stays until the next is full
 BATCH_CHARS = 1 << 20
 BATCH_PIECES = 400
 STOPS = ".,;:!?$#*"
