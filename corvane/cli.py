@@ -40,7 +40,8 @@ def build_indexes(spark: SparkSession, base_dir: str, corpus: Corpus, features:
         wanted.insert(0, indexes.Template((("s", 0),)))
     built = []
     for t in wanted:
-        if force or str(t).replace(":", "@") not in corpus.indexes:
+        old = corpus.indexes.get(str(t).replace(":", "@"))
+        if force or old is None or indexes.frequency_of(old) is None:
             indexes.build(spark, base_dir, corpus, t, min_frequency)
             built.append(str(t))
     return built

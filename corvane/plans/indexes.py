@@ -3,7 +3,9 @@
 A template names one or two features at offsets, the first at 0, and negative literals between them:
 ``pos:0+pos:1+s:1#s``. Its table has a row for each position: the values v1 (and v2) and ``at``, range
 partitioned and sorted by key, so a probe reads the row groups whose bounds hold its key. Values are
-never empty. With a minimal frequency, a pair is kept only if both its values are that frequent.
+never empty. With a minimal frequency, a pair is kept only if both its values are that frequent; the
+frequency is kept in the metadata of ``at``, so it is stored with the table. Such an index is probed only
+for two exact values that it holds: then both are frequent, and the index has all their pairs.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.predicates import column_name
 from corvane.lang import Literal, Query, QueryError, feature_name
 from corvane.sources.corpus import SENTENCE, Corpus
 
+MIN_FREQUENCY = "min_frequency"
+
 
 @dataclass(frozen=True)
 class Guard:
@@ -89,11 +93,11 @@ def templates(features: list[str], max_dist: int = 2, sentence_breaks: bool = Tr
 
 
 def postings(corpus: Corpus, template: Template, min_frequency: int = 0) -> DataFrame:
-    """v1 (, v2) and at, unsorted. Sentence guards are what keeps pairs within a sentence row."""
+    """v1 (, v2) and at with the minimal frequency, unsorted. Sentence guards are what keeps pairs within a sentence row."""
     corpus.check([f for f, _ in template.parts])
     first = template.parts[0][0]
     if len(template.parts) == 1:
-        return corpus.tokens.select(F.col(column_name(first)).alias("v1"), "at").where("v1 != ''")
+        return corpus.tokens.select(F.col(column_name(first)).alias("v1"), marked(0)).where("v1 != ''")
     second, d = template.parts[1]
     kept = [g for g in template.guards if g.feature != SENTENCE]
     if any(g.feature == SENTENCE for g in template.guards):
@@ -114,7 +118,17 @@ def postings(corpus: Corpus, template: Template, min_frequency: int = 0) -> Data
         for name, f in (("v1", first), ("v2", second)):
             often = corpus.tokens.groupBy(F.col(column_name(f)).alias(name)).count().where(F.col("count") >= min_frequency).select(name)
             rows = rows.join(often, name, "left_semi").select("v1", "v2", "at")
-    return rows
+    return rows.select("v1", "v2", marked(min_frequency))
+
+
+def marked(min_frequency: int) -> Column:
+    """``at`` with the minimal frequency of its index (0 if the index is complete)."""
+    return F.col("at").alias("at", metadata={MIN_FREQUENCY: min_frequency if min_frequency > 1 else 0})
+
+
+def frequency_of(index: DataFrame) -> int | None:
+    """The minimal frequency of an index; None if it was stored without one and may lack any pair."""
+    return index.schema["at"].metadata.get(MIN_FREQUENCY, 0 if "v2" not in index.columns else None)
 
 
 def build(spark: SparkSession, path: str, corpus: Corpus, template: Template, min_frequency: int = 0) -> DataFrame:
@@ -155,7 +169,8 @@ def positive(query: Query) -> list[tuple[int, Literal]]:
 
 
 def probes(corpus: Corpus, query: Query) -> list[DataFrame]:
-    """Index probes for a query: pairs first; single literals that a pair has not covered."""
+    """Index probes for a query: pairs first; single literals that a pair has not covered. An index with a
+    minimal frequency finds nothing for rare values, so what it doesn't find is left to the scan."""
     out, covered = [], set()
     known = {name.replace("@", ":") for name in corpus.indexes}
     found = positive(query)
@@ -165,8 +180,10 @@ def probes(corpus: Corpus, query: Query) -> list[DataFrame]:
             if m > k and x.kind == "exact":
                 t = Template(((x.feature, 0), (y.feature, m - k)), guards)
                 if str(t) in known:
-                    out.append(probe(corpus, t, [x, y], k))
-                    covered |= {(k, x), (m, y)}
+                    least = frequency_of(corpus.indexes[str(t).replace(":", "@")])
+                    if least == 0 or least and y.kind == "exact" and probe(corpus, t, [x, y]).head(1):
+                        out.append(probe(corpus, t, [x, y], k))
+                        covered |= {(k, x), (m, y)}
     for k, x in found:
         t = Template(((x.feature, 0),))
         if (k, x) not in covered and str(t) in known:

@@ -9,6 +9,7 @@ from corvane.lang import QueryError, parse
 from corvane.operators import search
 from corvane.plans import indexes
 from corvane.plans.hits import find
+from corvane.sources.corpus import open_corpus
 
 
 def at(corpus, text, plan=None, mode="chars", **options):
@@ -127,6 +128,31 @@ def test_indexes_change_nothing(spark, folder, random_corpus):
         c.indexes.clear()
 
 
+def test_an_index_of_frequent_values_changes_nothing(spark, folder):
+    lines = ["a b", "a b", "a b", "b a", "rare b", "a ab", "a bc", "rare a", "x b a"]
+    words(spark, folder, "often", "|".join(lines))
+    c = open_corpus(spark, f"file://{folder}", "often")
+    build_indexes(spark, f"file://{folder}", c, ["word"], min_frequency=3)
+    c = open_corpus(spark, f"file://{folder}", "often")
+    pair = indexes.Template.parse("word:0+word:1+s:1#s")
+    assert indexes.frequency_of(c.indexes["word@0+word@1+s@1#s"]) == 3
+    assert {tuple(r) for r in c.indexes["word@0+word@1+s@1#s"].select("v1", "v2").collect()} == {("a", "b"), ("b", "a")}
+    for q in ('[word="rare"] [word="b"]', '[word="rare"] [word="a"]', '[word="a"] [word="b.*"]', '[word="a"] [word="a.*"]', '[word="a"] [word="b"]', '[word="x"] [] [word="a"]', '[word="b"] [word="b"]'):
+        for breaks in (True, False):
+            want = at(c, q, "joins", sentence_breaks=breaks)
+            assert at(c, q, sentence_breaks=breaks) == want, (q, breaks)
+        assert at(c, q, "joins") == at(c, q, "arrays") == at(c, q), q
+    assert at(c, '[word="rare"] [word="b"]') == [8]
+    assert at(c, '[word="a"] [word="b.*"]') == [0, 2, 4, 12]
+    only = lambda t: open_corpus(spark, f"file://{folder}", "often").indexes[t]
+    c.indexes = {str(pair).replace(":", "@"): only("word@0+word@1+s@1#s")}
+    assert len(indexes.probes(c, parse('[word="a"] [word="b"]'))) == 1
+    assert indexes.probes(c, parse('[word="rare"] [word="b"]')) == indexes.probes(c, parse('[word="a"] [word="b.*"]')) == []
+    # an index stored without its minimal frequency may lack any pair
+    c.indexes = {k: v.select("v1", "v2", (v["at"] + 0).alias("at")) for k, v in c.indexes.items()}
+    assert indexes.probes(c, parse('[word="a"] [word="b"]')) == [] and at(c, '[word="a"] [word="b"]') == [0, 2, 4]
+
+
 def test_pages_run_over_corpora(spark, folder):
     one, two = words(spark, folder, "pageone", "x a x a x"), words(spark, folder, "pagetwo", "a x a x a")
     found = search.hits([one, two], parse('[word="x"]'))
