@@ -24,9 +24,12 @@ a document with an empty register gets a longer one, so signatures are unbiased.
 Sizes are filtered first (a ratio under the threshold can't reach it); nothing else is left out.
 
 Defined results. A text of one to four words: one shingle of all of them. Null or empty text, or one of
-white space only: a class of its own. Rows with one doc_id give one row, in the smallest of their
-classes; rows with a null doc_id are left out (``keep`` drops them). Empty table: empty result. Other
-columns are not read by ``classes_of`` and pass through ``keep``. Very long texts are processed whole.
+white space only: a class of its own. Rows with one doc_id give one row: where their texts differ, the
+classes of all of them are one. Rows with a null doc_id are left out of ``classes_of``. ``keep`` goes by
+texts: of each group of near copies that several ids have, or rows without an id, one row stays, that of
+the smallest id. Texts that only one id has are versions of its document, of which the smallest stays.
+Rows with neither an id nor words go. Empty table: empty result. Other columns are not read by
+``classes_of`` and pass through ``keep``. Very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -35,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import dropped, small_batches, table, unused, written
+from corvane.llm.shared import dropped, several_texts, small_batches, table, unused, written
 from corvane.llm.vec import Spans, column_bytes, mix, release, slices, word_spans
 
 U = np.uint64
@@ -280,10 +283,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return state.select(F.col("a").alias("id"), F.col("b").alias("root")).union(state.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of its group of near copies."""
-    small_batches(spark)
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null")
+def grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id of its group, of documents whose ids have one text each."""
     base = written(spark, docs.mapInArrow(signed, SIGNED), "signed")
     reps = base.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max(F.when(F.size("bands") > 0, F.col("bands"))).alias("bands"))
     reps = written(spark, reps, "classes")
@@ -333,8 +334,45 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
+def wordy() -> Column:
+    """Whether ``text`` has a word."""
+    return F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+
+
+def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+
+
+def numbered(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, key: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number of their own in column ``key``; and key, doc_id, text, class_id of each."""
+    rows = written(spark, df.withColumn(key, F.monotonically_increasing_id()), "rows")
+    docs = rows.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    classes = grouped(spark, docs.select(F.col("key").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("key"), "class_id")
+    return rows, docs.hint("merge").join(classes.hint("merge"), "key")
+
+
+def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id of its group of near copies."""
+    small_batches(spark)
+    docs = documents(df, id_col, text_col).where("doc_id is not null")
+    if not several_texts(docs):
+        return grouped(spark, docs, threshold)
+    _, found = numbered(spark, docs, "doc_id", "text", "key", threshold)
+    found = written(spark, found.select("doc_id", "class_id").distinct(), "found")
+    # classes that share a document are one, and named by their smallest document
+    least = found.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    roots = components(spark, found.hint("merge").join(least.hint("merge"), "doc_id").select("a", F.col("class_id").alias("b")).distinct())
+    whole = least.hint("merge").join(roots.hint("merge"), F.col("a") == F.col("id"), "left").select("doc_id", F.coalesce("root", "a").alias("root"))
+    names = whole.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return whole.hint("merge").join(names.hint("merge"), "root").select("doc_id", "class_id")
+
+
 def keep(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, with all columns."""
+    small_batches(spark)
+    docs = documents(df, id_col, text_col)
+    if docs.where(F.col("doc_id").isNull() & wordy()).head(1) or several_texts(docs.where("doc_id is not null")):
+        return keep_by_text(spark, df, id_col, text_col, threshold)
     kept, first = unused(df, "kept"), unused(df, "first")
     ids = classes_of(spark, df, id_col, text_col, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(kept))
     out = df.hint("merge").join(ids.hint("merge"), df[id_col].cast("long") == F.col(kept), "left_semi")
@@ -342,5 +380,19 @@ def keep(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: s
     return out.withColumn(first, number).where(F.col(first) == 1).drop(first)
 
 
+def keep_by_text(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``keep`` where ids have several texts, or texts have no id."""
+    key = unused(df, "key")
+    rows, found = numbered(spark, df, id_col, text_col, key, threshold)
+    found = found.where(F.col("doc_id").isNotNull() | wordy())
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "key")).alias("best")
+    groups = found.groupBy("class_id").agg(best, F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("some_none"))
+    groups = written(spark, groups.select("best.*", (F.col("some_none") | (F.col("last") != F.col("best.doc_id"))).alias("shared")), "groups")
+    version = F.min(F.struct((~wordy()).alias("blank"), "text", "key"))["key"].alias("key")
+    own = groups.where("not shared").groupBy("doc_id").agg(version).select("key")
+    stay = groups.where("shared").select("key").union(own).select(F.col("key").alias(key))
+    return rows.hint("merge").join(stay.hint("merge"), key, "left_semi").select(*df.columns)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes_of(spark, table(spark, sf_dir, "documents"))

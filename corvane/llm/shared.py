@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def several_texts(docs: DataFrame) -> bool:
+    """Whether any doc_id has different texts (null is one)."""
+    mark = docs.select("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("mark"))
+    spread = mark.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    return bool(spread.where("low <> high").head(1))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
