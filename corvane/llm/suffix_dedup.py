@@ -20,9 +20,9 @@ anywhere, so suffixes are first dealt into groups such that equal 100-byte strin
 Runs are compared by 64-bit hashes within an equal 64-bit anchor hash; step 3 compares bytes, but in
 crowded anchors. The text is shuffled once, by id; both joins and step 1 read that exchange.
 
-Defined results. Null or empty text: nothing removed. Rows with one doc_id count as one document with
-the smallest of their texts; rows with a null doc_id are left out. Empty table: empty result. Other
-columns, whatever their names, are not read by ``spans``; ``remove`` passes them through. Texts under
+Defined results. Null or empty text: nothing removed. Rows with one doc_id count in ``spans`` as one
+document with the smallest of their texts; in ``remove`` each of its texts is a document, in their order.
+Rows with a null doc_id are left out. Empty table: empty result. Other columns, whatever their names, are not read by ``spans``; ``remove`` passes them through. Texts under
 100 bytes lose nothing. Very long texts are processed whole, in pieces of a quarter of a megabyte.
 """
 
@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import small_batches, table, unused
+from corvane.llm.shared import several_texts, small_batches, table, unused, written
 from corvane.llm.vec import Spans, classes, column_bytes, mix, release, slices
 
 LENGTH, GRAM, CROWD = 100, 32, 2000
@@ -365,17 +365,28 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeated passages cut from its texts. Characters of which only a part is left go too;
     a document of which nothing is left is dropped."""
-    kept = with_ranges(df, id_col, text_col).where("ranges is not null").select("doc_id", "text", "ranges")
-
-    key, left = unused(df, "key"), unused(df, "left")
+    key, was, left = unused(df, "key"), unused(df, "was"), unused(df, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [cut(t, s).decode("utf-8", "ignore") for t, s in each(b, 1, 2)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=[key, left])
 
-    changed = kept.mapInArrow(run, f"{key} long, {left} string")
-    out = df.join(changed, df[id_col].cast("long") == changed[key], "left").where(F.col(key).isNull() | (F.col(left) != ""))
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null")
+    if several_texts(docs):
+        # each text of an id is a document of its own, in the order of ids and texts
+        small_batches(df.sparkSession)
+        docs = docs.where("text != ''").distinct().repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+        docs = written(df.sparkSession, docs.withColumn("n", F.monotonically_increasing_id()), "texts")
+        kept = with_ranges(docs, "n", "text").where("ranges is not null").select("doc_id", "text", "ranges")
+        changed = kept.mapInArrow(run, f"{key} long, {left} string").withColumnRenamed(key, "n").hint("merge").join(docs.hint("merge"), "n")
+        changed = changed.select(F.col("doc_id").alias(key), F.col("text").alias(was), left)
+        same = (df[id_col].cast("long") == changed[key]) & (df[text_col].cast("string") == changed[was])
+    else:
+        kept = with_ranges(df, id_col, text_col).where("ranges is not null").select("doc_id", "text", "ranges")
+        changed = kept.mapInArrow(run, f"{key} long, {left} string")
+        same = df[id_col].cast("long") == changed[key]
+    out = df.join(changed, same, "left").where(F.col(key).isNull() | (F.col(left) != ""))
     text = F.when(F.col(key).isNotNull(), F.col(left)).otherwise(df[text_col])
     return out.select(*(text.alias(c) if c == text_col else df[c] for c in df.columns))
 

@@ -66,3 +66,12 @@ def test_remove_keeps_columns_and_drops_emptied_rows(spark):
     assert out[1]["text"] == text and out[1]["h"] == 5
     assert out[3]["text"] == "before  after" and out[3]["h"] == 7
     assert out[4]["text"] is None and out[None]["text"] == text
+
+
+def test_remove_cuts_each_text_of_an_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in ("word", "other"))
+    rows = [(1, one, 1), (2, one, 2), (2, "unlike", 3), (3, "before " + two, 4), (3, two + " after", 5), (3, two + " after", 6), (4, None, 7), (4, two, 8), (None, one, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    got = {r["n"]: (r["doc_id"], r["text"]) for r in sd.remove(df).collect()}
+    # the space before the second text is not in the first: only what repeats goes
+    assert got == {1: (1, one), 3: (2, "unlike"), 4: (3, "before " + two), 5: (3, " after"), 6: (3, " after"), 7: (4, None), 9: (None, one)}
