@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows of that SQL in DuckDB."""
 
 import sys
+import threading
 from pathlib import Path
 
 import duckdb
@@ -34,6 +35,19 @@ def test_same_rows_as_sql(spark, tiny, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(cq.QUERIES))
+def test_same_types_as_sql_which_ends_below_a_limit(spark, tiny, duck, name):
+    want = {c: t for c, t, *_ in duck.execute(f"DESCRIBE {cq.ORACLE_SQL[name]}").fetchall()}
+    assert {c: KINDS[t] for c, t in cq.QUERIES[name](spark, tiny).dtypes} == want
+    stop = threading.Timer(20, duck.interrupt)
+    stop.start()
+    duck.execute(f"SELECT * FROM ({cq.ORACLE_SQL[name]}) LIMIT 1000000").fetchall()
+    stop.cancel()
+
+
 def test_every_query_has_sql():
     assert set(cq.QUERIES) == set(cq.ORACLE_SQL)
 
