@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.pieces import ids
 from corvane.llm.shared import small_batches, table, written
+from corvane.llm.vec import release
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,19 +37,21 @@ RESULT = PIECES + ", sequence_id long, offset long"
 BUCKET = 100_000
 
 
-def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str, spaced: bool, end_id: int) -> DataFrame:
+def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end = ids(vocabulary, spaced), np.array([end_id], "<u4").tobytes()
+        release(ids.cache_clear)
+        of, end = ids(vocabulary), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for i in range(0, b.num_rows, 256):
-                texts = b.column(1)[i : i + 256].to_pylist()
-                for doc, got in zip(b.column(0)[i : i + 256].to_pylist(), of.of_texts(texts), strict=True):
-                    raw = got + end
-                    n = len(raw) // 4
+            docs = iter(b.column(0).to_pylist())
+            for got, bound in of.of_column(b.column(1)):
+                raw = memoryview(got.tobytes())
+                for x, y in zip(bound.tolist(), bound[1:].tolist(), strict=False):
+                    doc, n = next(docs), y - x + 1
                     for k, at in enumerate(range(0, n, capacity)):
                         m = min(capacity, n - at)
-                        rows.append((doc, k, at, m, zlib.crc32(raw[4 * at : 4 * (at + m)])))
+                        crc = zlib.crc32(raw[4 * (x + at) : 4 * min(x + at + m, y)])
+                        rows.append((doc, k, at, m, zlib.crc32(end, crc) if at + m == n else crc))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
@@ -115,10 +118,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[
     return out
 
 
-def pack(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", spaced: bool = False, end_id: int = 1) -> DataFrame:
+def pack(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """A row for each piece, with its sequence and its place there."""
     small_batches(spark)
-    pieces = written(spark, cut_pieces(df, id_col, text_col, capacity, vocabulary, spaced, end_id), "pieces")
+    pieces = written(spark, cut_pieces(df, id_col, text_col, capacity, vocabulary, end_id), "pieces")
     histogram = dict(pieces.groupBy("length").count().collect())  # capacity rows at most
     places = {x: np.array(rows, np.int64) for x, rows in plan(histogram, capacity).items()}
     buckets = max(1, sum(histogram.values()) // BUCKET)

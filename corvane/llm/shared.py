@@ -35,11 +35,12 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts make large Arrow batches, which the JVM and Python both hold: fewer rows each than
-    Spark's default, unless the session has set a number of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "2000")
+    """Whole texts make large Arrow batches, which the JVM and Python both hold: fewer rows and bytes each
+    than Spark's defaults, unless the session has set numbers of its own."""
+    for key, usual, less in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, less)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,11 @@ def several_texts(docs: DataFrame) -> bool:
     return bool(spread.where("low <> high").head(1))
 
 
+def irregular(docs: DataFrame) -> bool:
+    """Whether rows have no doc_id, or share one."""
+    return bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").head(1))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

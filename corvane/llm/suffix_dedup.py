@@ -8,22 +8,27 @@ anywhere, so suffixes are first dealt into groups such that equal 100-byte strin
 
 1. Of the 69 grams of 32 bytes in a 100-byte window, the one with the smallest hash is its anchor.
    Neighbouring windows mostly share an anchor, so a text falls into runs of about 35 windows. Equal
-   windows have equal anchors. A batch of documents drops the runs that repeat within it at once and
-   passes on the first of each, so a passage in a third of all rows reaches the shuffle once a batch.
-2. By anchor: a run with the content of an earlier one goes as a whole; an anchor with one run is done.
-   Only anchors with different runs, the edges of repeats, are left, as first occurrences.
-3. Those runs fetch their bytes. By anchor again, a suffix array over them (prefix doubling by 8, 16,
-   32, 64, then 100 bytes; ties by position) gives each window its previous smaller position: the
-   suffix before it, if 100 bytes agree. Anchors with more than ``CROWD`` different runs are dealt by
-   window content instead, after the same dropping within a batch, so no group is unbounded.
-
-Runs are compared by 64-bit hashes within an equal 64-bit anchor hash; step 3 compares bytes, but in
-crowded anchors. The text is shuffled once, by id; both joins and step 1 read that exchange.
-
-Defined results. Null or empty text: nothing removed. Rows with one doc_id count in ``spans`` as one
-document with the smallest of their texts; in ``remove`` each of its texts is a document, in their order.
-Rows with a null doc_id are left out. Empty table: empty result. Other columns, whatever their names, are not read by ``spans``; ``remove`` passes them through. Texts under
-100 bytes lose nothing. Very long texts are processed whole, in pieces of a quarter of a megabyte.
+   windows have equal anchors. As a preparation, some megabytes of text drop the runs that repeat within
+   them, byte for byte, and pass on the first of each: a passage in a third of all rows goes on once.
+2. Anchors with one run are done: nothing else can be equal to its windows. Of the others, runs that are
+   equal as a whole to an earlier one are dropped too, by a cryptographic digest of their bytes
+   (BLAKE2b, 128 bits), and anchors that then have one run left are done.
+3. Runs of the rest, where texts begin to differ, fetch their bytes and meet by anchor. An anchor with
+   more than ``GROUP`` runs is dealt to several groups, by the content of each window, and in two rounds: first with a part of the
+   documents each, then the windows without an earlier match there. So a group has about ``GROUP`` rows
+   of one string, or of all, however often a passage or a line comes.
+4. A group, or several at once, gets its suffix array (prefix doubling by 8, 16, 32 and 64 bytes, to 100;
+   ties by position), for each window the previous and next smaller position in suffix order, the
+   longest common prefixes with both, and from these its LPF. Windows with an LPF of 100 go.
+
+Other hashes only decide who meets. The text is shuffled once, by id; the joins and
+step 1 read that exchange. Tasks read their groups in order, and hold those that they work on.
+
+Defined results. Null or empty text: nothing removed. Each row is a document: rows with equal ids count
+in the order of their texts, so of repeated rows the first is left whole; rows without an id come first.
+Empty table: empty result. Other columns, whatever their names, are not read by ``spans``; ``remove``
+passes them through. Texts under 100 bytes lose nothing. Very long texts are processed whole, in pieces
+of a quarter of a megabyte.
 """
 
 from __future__ import annotations
@@ -35,22 +40,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import several_texts, small_batches, table, unused, written
+from corvane.llm.shared import irregular, small_batches, table, unused, written
 from corvane.llm.vec import Spans, classes, column_bytes, mix, release, slices
 
-LENGTH, GRAM, CROWD = 100, 32, 2000
+LENGTH, GRAM, GROUP = 100, 32, 2000
 WINDOW = LENGTH - GRAM + 1
-PIECE, SLAB, PART = 1 << 18, 1 << 19, 8 << 20  # bytes worked on at once: a text, runs of one task, texts of one task
+WIDEST = WINDOW + LENGTH - 1  # bytes of a run
+PIECE, SLAB, PART = 1 << 18, 1 << 19, 8 << 20  # bytes worked on at once: a text, runs of groups, texts of one task
 U = np.uint64
-RUN = "fp long, h long, doc long, at long"  # at: first window << 16 | anchor - first window << 8 | windows; 0 windows: a removed range of windows up to h
-ROW = "fp long, h long, doc long, at long, body binary"
+# at: first window << 8 | windows. A row with an end is a removed range of windows.
+RUN = "fp long, d1 long, d2 long, doc long, at long, end long"
+EDGE = "fp long, doc long, at long, end long, groups long"
+ROW = "fp long, then long, doc long, at long, end long, body binary"
+RANGE = "doc long, at long, end long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, row, first window, anchor and number of windows of each run."""
+    """Anchor hash, content hash, row, first window and number of windows of each run."""
     out = []
     row = 0
     n = len(offsets) - 1
@@ -63,11 +73,11 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
                 fp, h, r, start, anchor, many = _runs(data[at:end], np.array([0, end - at]))
                 out.append((fp, h, r + row, start + (at - offsets[row]), anchor, many))
         else:
-            fp, h, r, start, anchor, many = _runs(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
-            out.append((fp, h, r + row, start, anchor, many))
+            fp, h, r, start, many = _runs(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
+            out.append((fp, h, r + row, start, many))
         row = last
     if not out:
-        return tuple(np.zeros(0, t) for t in ("u8", "u8", "i8", "i8", "i8", "i8"))
+        return tuple(np.zeros(0, t) for t in ("u8", "u8", "i8", "i8", "i8"))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -75,7 +85,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - GRAM + 1
     windows = len(data) - LENGTH + 1
     if windows < 1:
-        return tuple(np.zeros(0, t) for t in ("u8", "u8", "i8", "i8", "i8", "i8"))
+        return tuple(np.zeros(0, t) for t in ("u8", "u8", "i8", "i8", "i8"))
     spans = Spans(data)
     grams = mix((spans.sums[GRAM:] - spans.sums[:-GRAM]) * spans.down[:n])
     value, index, width = grams, np.arange(n, dtype=np.int32), 1
@@ -104,8 +114,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = index[starts].astype(np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
     content = spans.hash(starts, ends + (LENGTH - 1))
-    # an equal string around an equal anchor has it at an equal place
-    return grams[anchor], mix(content + (anchor - starts).astype(np.uint64)), row, starts - offsets[row], anchor - offsets[row], ends - starts
+    return grams[anchor], content, row, starts - offsets[row], ends - starts
 
 
 def removed_rows(doc: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,12 +131,42 @@ def removed_rows(doc: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[
     return doc[first], start[first], np.maximum.reduceat(stop, first)
 
 
-def batch(fp, h, doc, at, body=None) -> pa.RecordBatch:
-    cols = [pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (fp, h, doc, at)]
-    names = ["fp", "h", "doc", "at"]
-    if body is not None:
-        cols, names = [*cols, body], [*names, "body"]
-    return pa.RecordBatch.from_arrays(cols, names=names)
+def batch(names: str, **columns) -> pa.RecordBatch:
+    """A batch of long columns, and ``body``; missing ones are null."""
+    n = len(columns["doc"])
+    cols = []
+    for name, kind in (x.split() for x in names.split(", ")):
+        c = columns.get(name)
+        if c is None:
+            c = pa.nulls(n, pa.binary() if kind == "binary" else pa.int64())
+        elif isinstance(c, np.ndarray):
+            c = pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64))
+        cols.append(c)
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in names.split(", ")])
+
+
+def equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` and from ``b`` on are the same, ``size`` each."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(WIDEST, np.uint8)]), WIDEST)
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 1 << 14):
+        x = slice(i, i + (1 << 14))
+        differ = rows[a[x]] != rows[b[x]]
+        out[x] = np.where(differ.any(axis=1), differ.argmax(axis=1) >= size[x], True)
+    return out
+
+
+def repeats(data: np.ndarray, keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans of ``data`` (from ``place``) have the keys and the bytes of an earlier one (by document and start)."""
+    order = np.lexsort((start, doc, *keys))
+    same = np.zeros(len(order), bool)
+    if len(order):
+        same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in (*keys, size)])
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    spot = np.flatnonzero(same)
+    out = np.zeros(len(order), bool)
+    out[order[spot]] = equal(data, place[order[first[spot]]], place[order[spot]], size[order[spot]])
+    return out
 
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,169 +180,219 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    fp, h, row, start, anchor, many = runs(data, offsets)
+    fp, h, row, start, many = runs(data, offsets)
     doc = ids[row]
-    order = np.lexsort((start, doc, h, fp))
-    fp, h, doc, start, anchor, many = (x[order] for x in (fp, h, doc, start, anchor, many))
-    later = np.zeros(len(fp), bool)
-    later[1:] = (fp[1:] == fp[:-1]) & (h[1:] == h[:-1])
-    at = start << 16 | (anchor - start) << 8 | many
-    if (~later).any():
-        yield batch(fp[~later], h[~later], doc[~later], at[~later])
+    later = repeats(data, [fp, h], doc, start, offsets[row] + start, many + LENGTH - 1)
+    first = np.flatnonzero(~later)
+    if len(first):
+        place, raw = offsets[row[first]] + start[first], data.tobytes()
+        size = many[first] + LENGTH - 1
+        digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(place.tolist(), (place + size).tolist(), strict=True))
+        d = np.frombuffer(digests, "<i8").reshape(-1, 2)
+        yield batch(RUN, fp=fp[first], d1=d[:, 0], d2=d[:, 1], doc=doc[first], at=(start << 8 | many)[first])
     if later.any():
         d, s, e = removed_rows(doc[later], start[later], many[later])
-        yield batch(mix(d.astype(np.uint64)), e, d, s << 16)
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
-    """All rows of a partition, whose size the shuffle bounds."""
-    got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if got is None or not got.num_rows:
-        return None
-    return [got.column(i).to_numpy() for i in range(4)] + [got]
+        yield batch(RUN, fp=mix(d.astype(np.uint64)), doc=d, at=s << 8, end=e)
 
 
 def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2. Rows out: removed ranges (fp 0), and runs at edges (h: 1 if their anchor is crowded)."""
-    if (got := gathered(batches)) is None:
-        return
-    fp, h, doc, at, _ = got
-    ranges = (at & 0xFF) == 0
-    if ranges.any():
-        yield batch(np.zeros(ranges.sum(), np.int64), h[ranges], doc[ranges], at[ranges])
-    fp, h, doc, at = (x[~ranges] for x in (fp, h, doc, at))
-    order = np.lexsort((at, doc, h, fp))
-    fp, h, doc, at = (x[order] for x in (fp, h, doc, at))
-    anew = np.ones(len(fp), bool)
-    anew[1:] = fp[1:] != fp[:-1]
-    same = np.zeros(len(fp), bool)
-    same[1:] = ~anew[1:] & (h[1:] == h[:-1])
-    if same.any():
-        d, s, e = removed_rows(doc[same], at[same] >> 16, at[same] & 0xFF)
-        yield batch(np.zeros(len(d), np.int64), e, d, s << 16)
-    group = np.cumsum(anew) - 1
-    kinds = np.bincount(group, weights=~same, minlength=1).astype(np.int64)[group] if len(group) else group
-    edge = ~same & (kinds > 1)
-    if edge.any():
-        yield batch(fp[edge], (kinds[edge] > CROWD).astype(np.int64), doc[edge], at[edge])
+    """Step 2 over rows in the order of anchor, digest and position, with the number of rows of the anchor. Rows
+    out: removed ranges, and the runs of anchors that have different ones. One row is held between batches."""
+    last, held, opened = None, None, None  # the row before; the only run of its anchor so far; an anchor with several
+    for b in batches:
+        gone = b.column("end").is_valid().to_numpy(zero_copy_only=False)
+        if gone.any():
+            some = b.filter(pa.array(gone))
+            yield batch(EDGE, **{c: some.column(c) for c in ("fp", "doc", "at", "end")})
+            b = b.filter(pa.array(~gone))
+        if not b.num_rows:
+            continue
+        fp, d1, d2, doc, at, n = (b.column(c).to_numpy() for c in ("fp", "d1", "d2", "doc", "at", "n"))
+        same = np.zeros(len(fp), bool)
+        same[1:] = (fp[1:] == fp[:-1]) & (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
+        same[0] = last == (fp[0], d1[0], d2[0])
+        last = fp[-1], d1[-1], d2[-1]
+        if same.any():
+            d, s, e = removed_rows(doc[same], at[same] >> 8, at[same] & 0xFF)
+            yield batch(EDGE, fp=mix(d.astype(np.uint64)), doc=d, at=s << 8, end=e)
+        rows = np.stack([fp, doc, at, -(-n // GROUP)])[:, ~same]
+        if held is not None:
+            rows = np.concatenate([held, rows], axis=1)
+        if not rows.shape[1]:
+            continue
+        begin = np.flatnonzero(np.diff(rows[0], prepend=~rows[0, 0]))
+        size = np.diff(np.append(begin, rows.shape[1]))
+        several = size > 1
+        several[0] |= opened is not None and opened == rows[0, 0]
+        held = None if several[-1] else rows[:, -1:]
+        opened = rows[0, -1] if several[-1] else None
+        pick = np.repeat(several, size)
+        if pick.any():
+            fp, doc, at, groups = rows[:, pick]
+            yield batch(EDGE, fp=fp, doc=doc, at=at, groups=groups)
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, first half: documents with their rows of step 2. Rows out: removed ranges (h: end), the
-    bytes of runs, and of crowded anchors one row a window (at: window << 16 | 1, h: content)."""
+    """Step 3: documents with their rows of step 2. Rows out: removed ranges, runs with their bytes, and
+    the windows of anchors with several groups, with the group of the second round."""
     for b in batches:
         data, offsets = column_bytes(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
         lists = b.column(2)
         bounds = lists.offsets.to_numpy()
-        flat = lists.values
-        fp, h, at = (flat.field(k).to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]] for k in ("fp", "h", "at"))
+        flat = lists.flatten()
+        fp, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("fp", "at"))
+        groups = flat.field("groups").fill_null(0).to_numpy(zero_copy_only=False)
+        end = flat.field("end").fill_null(-1).to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        doc, start, many = ids[row], at >> 16, at & 0xFF
-        ranges = many == 0
-        if ranges.any():
-            d, s, e = doc[ranges], start[ranges], h[ranges]
-            yield batch(mix(d.astype(np.uint64)), e, d, s << 16, pa.nulls(len(d), pa.binary()))
-        plain = np.flatnonzero(~ranges & (h == 0))
-        base = offsets[row] + start
-        raw = data.tobytes() if len(plain) else b""
-        for i in range(0, len(plain), 20_000):
-            p = plain[i : i + 20_000]
-            body = pa.array([raw[x : x + n + LENGTH - 1] for x, n in zip(base[p].tolist(), many[p].tolist(), strict=True)], pa.binary())
-            yield batch(fp[p], np.zeros(len(p), np.int64), doc[p], at[p], body)
-        crowd = np.flatnonzero(~ranges & (h == 1))
-        if len(crowd):
-            spans = Spans(data)
-            which = np.repeat(crowd, many[crowd])
-            step = np.arange(len(which)) - np.repeat(np.cumsum(many[crowd]) - many[crowd], many[crowd])
-            place = base[which] + step
-            wh = spans.hash(place, place + LENGTH)
-            key, d, w = mix(fp[which].view(np.uint64) + wh), doc[which], start[which] + step
-            order = np.lexsort((w, d, wh, key))
-            key, wh, d, w = key[order], wh[order], d[order], w[order]
-            later = np.zeros(len(key), bool)
-            later[1:] = (key[1:] == key[:-1]) & (wh[1:] == wh[:-1])
-            f = ~later
-            yield batch(key[f], wh[f], d[f], w[f] << 16 | 1, pa.nulls(int(f.sum()), pa.binary()))
-            if later.any():
-                d, s, e = removed_rows(d[later], w[later], np.ones(int(later.sum()), np.int64))
-                yield batch(mix(d.astype(np.uint64)), e, d, s << 16, pa.nulls(len(d), pa.binary()))
-
-
-def earlier(text: np.ndarray, windows: np.ndarray, doc: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Of windows (starts in ``text``) with the places they come from: whether 100 bytes agree with the
-    previous smaller position in suffix order, that is, whether their LPF is at least 100."""
-    padded = np.concatenate([text, np.zeros(128, np.uint8)])
+        doc, start, many = ids[row], at >> 8, at & 0xFF
+        gone = end >= 0
+        if gone.any():
+            yield batch(ROW, fp=mix(doc[gone].astype(np.uint64)), doc=doc[gone], at=at[gone], end=end[gone])
+        place = offsets[row] + start
+        plain = np.flatnonzero(~gone & (groups == 1))
+        for i in range(0, len(plain), 10_000):
+            p = plain[i : i + 10_000]
+            yield batch(ROW, fp=fp[p], doc=doc[p], at=at[p], body=bodies(data, place[p], many[p] + LENGTH - 1))
+        crowd = np.flatnonzero(~gone & (groups > 1))
+        for i in range(0, len(crowd), 1000):
+            p = crowd[i : i + 1000]
+            which, step = np.repeat(p, many[p]), steps(many[p])
+            at_, d, w = place[which] + step, doc[which], start[which] + step
+            low = int(at_.min())
+            part = data[low : int(at_.max()) + LENGTH]
+            h = Spans(part).hash(at_ - low, at_ - low + LENGTH)
+            n = groups[which].astype(np.uint64)
+            then = mix(fp[which].view(np.uint64) ^ mix(h % n))
+            first = mix(then + mix(d.astype(np.uint64)) % n)
+            yield batch(ROW, fp=first, then=then, doc=d, at=w << 8 | 1, body=bodies(data, at_, np.full(len(at_), LENGTH)))
+
+
+def steps(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... below each number."""
+    return np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+
+
+def bodies(data: np.ndarray, place: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Bytes of spans as an array of binary values."""
+    ends = np.cumsum(size)
+    flat = data[np.repeat(place - ends + size, size) + np.arange(ends[-1])]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def nearest_smaller(p: np.ndarray) -> np.ndarray:
+    """For each place of ``p`` (distinct numbers) the nearest one before it with a smaller number; -1 if none."""
+    low = [p]
+    while 2 << (len(low) - 1) <= len(p):
+        half = 1 << (len(low) - 1)
+        low.append(np.minimum(low[-1][:-half], low[-1][half:]))  # minima of 2, 4, 8, ... numbers
+    at = np.arange(len(p))  # everything from here up to the place itself is larger
+    for k in range(len(low) - 1, -1, -1):
+        to = at - (1 << k)
+        on = to >= 0
+        on[on] = low[k][to[on]] > p[on]
+        at = np.where(on, to, at)
+    return at - 1
+
+
+def lpf_array(text: np.ndarray, windows: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The longest common prefix, up to 100 bytes, of each window (start in ``text``) with any window of a
+    smaller position (distinct numbers)."""
     n = len(text)
+    padded = np.concatenate([text, np.zeros(128, np.uint8)])
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << U(8) | padded[i : i + n].astype(np.uint64)
-    order, _, number = classes(key)
-    rank = np.empty(n + 128, np.int64)
-    rank[n:] = -1
-    rank[:n][order] = number
+    ranks = []
     size = 8
-    while size < 64:
-        pair = rank[:n] * (n + 2) + rank[size : size + n] + 1
-        order, _, number = classes(pair)
-        rank[:n][order] = number
+    while size <= 64:
+        order, _, number = classes(key)
+        rank = np.full(n + 128, -1, np.int64)
+        rank[order] = number
+        ranks.append((size, rank))
+        key = (rank[:n] * (n + 2) + rank[size : size + n] + 1).view(np.uint64)
         size *= 2
-    pair = rank[windows] * (n + 2) + rank[windows + (LENGTH - size)] + 1
-    order = np.lexsort((position, doc, pair))  # the suffix array of the windows; ties by position
-    same = np.zeros(len(order), bool)
-    same[1:] = pair[order][1:] == pair[order][:-1]
-    moved = np.zeros(len(order), bool)
-    moved[1:] = (doc[order][1:] != doc[order][:-1]) | (position[order][1:] != position[order][:-1])
-    out = np.zeros(len(order), bool)
-    out[order] = same & moved
-    return out
-
-
-def by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, second half. Rows out: removed ranges."""
-    if (got := gathered(batches)) is None:
-        return
-    fp, h, doc, at, whole = got
-    many = at & 0xFF
-    ranges = many == 0
-    has_body = pa.compute.is_valid(whole.column(4)).to_numpy()
-    if ranges.any():
-        yield batch(fp[ranges], h[ranges], doc[ranges], at[ranges])
-    spot = np.flatnonzero(~ranges & ~has_body)
-    if len(spot):
-        order = spot[np.lexsort((at[spot], doc[spot], h[spot], fp[spot]))]
-        same = np.zeros(len(order), bool)
-        same[1:] = (fp[order][1:] == fp[order][:-1]) & (h[order][1:] == h[order][:-1])
-        if same.any():
-            p = order[same]
-            d, s, e = removed_rows(doc[p], at[p] >> 16, np.ones(len(p), np.int64))
-            yield batch(d, e, d, s << 16)
-    spot = np.flatnonzero(has_body)
-    if not len(spot):
-        return
-    spot = spot[np.argsort(fp[spot], kind="stable")]
-    size = np.cumsum(many[spot] + LENGTH - 1)
-    edges = np.flatnonzero(np.diff(fp[spot])) + 1  # an anchor is not cut; CROWD bounds it
-    begin = 0
-    while begin < len(spot):
-        base = size[begin - 1] if begin else 0
-        far = int(np.searchsorted(size, base + SLAB, "right"))
-        if far >= len(spot):
-            end = len(spot)
-        else:
-            i = int(np.searchsorted(edges, far, "right")) - 1
-            end = int(edges[i]) if i >= 0 and edges[i] > begin else int(edges[i + 1]) if i + 1 < len(edges) else len(spot)
-        p = spot[begin:end]
-        text = np.frombuffer(b"".join(whole.column(4).take(pa.array(p)).to_pylist()), np.uint8)
-        head = np.cumsum(many[p] + LENGTH - 1) - (many[p] + LENGTH - 1)
-        which = np.repeat(np.arange(len(p)), many[p])
-        step = np.arange(len(which)) - np.repeat(np.cumsum(many[p]) - many[p], many[p])
-        d, w = doc[p][which], (at[p] >> 16)[which] + step
-        hit = earlier(text, head[which] + step, d, w)
+    whole = rank[windows] * (n + 2) + rank[windows + LENGTH - 64] + 1  # 64 bytes from the start and up to the end
+    order = np.lexsort((position, whole))  # the suffix array of the windows; ties by position
+    p, at = position[order], windows[order]
+    before, after = nearest_smaller(p), len(p) - 1 - nearest_smaller(p[::-1])[::-1]
+    out = np.zeros(len(p), np.int64)
+    for other in (before, np.where(after < len(p), after, -1)):
+        has = np.flatnonzero(other >= 0)
+        a, b = at[has], at[other[has]]
+        common = np.zeros(len(has), np.int64)
+        for size, rank in reversed(ranks):
+            same = rank[a + common] == rank[b + common]
+            common += size * same
+        ahead = np.arange(8)
+        near = padded[np.minimum(a + common, n)[:, None] + ahead] == padded[np.minimum(b + common, n)[:, None] + ahead]
+        common += np.where(near.all(axis=1), 8, near.argmin(axis=1))
+        out[has] = np.maximum(out[has], np.minimum(common, LENGTH))
+    lpf = np.empty(len(p), np.int64)
+    lpf[order] = out
+    return lpf
+
+
+def by_suffix(last: bool):
+    """Step 4 over rows in the order of their groups. Rows out: removed ranges, and if this isn't the last
+    round windows that come to a second one."""
+
+    def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        gone = rows.column("end").is_valid().to_numpy()
+        doc, at = (rows.column(c).to_numpy() for c in ("doc", "at"))
+        if gone.any():
+            yield out(doc[gone], at[gone] >> 8, rows.column("end").fill_null(0).to_numpy()[gone])
+        if gone.all():
+            return
+        body = rows.column("body").combine_chunks().filter(pa.array(~gone))
+        doc, at = doc[~gone], at[~gone]
+        many, start = at & 0xFF, at >> 8
+        _, offsets, data = body.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[body.offset : body.offset + len(body) + 1]
+        text = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        which, step = np.repeat(np.arange(len(doc)), many), steps(many)
+        d, w = doc[which], start[which] + step
+        position = np.empty(len(d), np.int64)
+        position[np.lexsort((w, d))] = np.arange(len(d))
+        hit = lpf_array(text, (bounds[:-1] - bounds[0])[which] + step, position) >= LENGTH
         if hit.any():
-            d, s, e = removed_rows(d[hit], w[hit], np.ones(int(hit.sum()), np.int64))
-            yield batch(d, e, d, s << 16)
-        begin = end
+            yield out(*removed_rows(d[hit], w[hit], np.ones(int(hit.sum()), np.int64)))
+        if not last:
+            then = rows.column("then").combine_chunks().filter(pa.array(~gone))
+            again = then.is_valid().to_numpy(zero_copy_only=False)
+            again[again] = ~hit[(np.cumsum(many) - many)[again]]  # such a row is one window
+            if again.any():
+                pick = pa.array(again)
+                yield batch(ROW, fp=then.filter(pick), doc=doc[again], at=at[again], body=body.filter(pick))
+
+    def out(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        if last:
+            return batch(RANGE, doc=doc, at=start, end=end)
+        return batch(ROW, fp=mix(doc.astype(np.uint64)), doc=doc, at=start << 8, end=end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > SLAB:
+                rows = pa.Table.from_batches(held)
+                fp = rows.column("fp").to_numpy()
+                edges = np.flatnonzero(fp[1:] != fp[:-1]) + 1
+                if not len(edges):
+                    continue
+                begin, mean = 0, max(1, len(fp) * SLAB // size)
+                while begin + mean < edges[-1]:  # groups are not cut
+                    stop = int(edges[np.searchsorted(edges, begin + mean)])
+                    yield from solved(rows.slice(begin, stop - begin))
+                    begin = stop
+                rest = rows.slice(begin).combine_chunks()
+                held, size = rest.to_batches(), rest.nbytes
+        if held:
+            yield from solved(pa.Table.from_batches(held))
+
+    return run
 
 
 def covered(at: np.ndarray, end: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -334,25 +423,26 @@ def each(b: pa.RecordBatch, text: int, lists: int) -> Iterator[tuple[bytes, list
     data, offsets = column_bytes(b.column(text))
     col = b.column(lists)
     bounds = col.offsets.to_numpy()
-    at, end = (col.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "h"))
+    at, end = (col.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "end"))
     none = col.is_null().to_numpy(zero_copy_only=False)
     for i in range(len(col)):
         body = data[offsets[i] : offsets[i + 1]].tobytes()
         x, y = (0, 0) if none[i] else (bounds[i], bounds[i + 1])
-        yield body, covered(at[x:y] >> 16, end[x:y], len(body))
+        yield body, covered(at[x:y], end[x:y], len(body))
 
 
-def with_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the removed ranges of windows of each document."""
-    small_batches(df.sparkSession)
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null")
-    docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = docs.mapInArrow(find_runs, RUN).repartition("fp").mapInArrow(by_anchor, RUN)
-    lists = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("fp", "h", "at")).alias("rows"))
-    edges = docs.hint("merge").join(lists.hint("merge"), "doc_id").select("doc_id", "text", "rows").mapInArrow(fetch, ROW)
-    done = edges.repartition("fp").mapInArrow(by_suffix, RUN)
-    out = done.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "h")).alias("ranges"))
-    return docs.hint("merge").join(out.hint("merge"), "doc_id", "left").select("doc_id", "text", "ranges")
+def with_ranges(docs: DataFrame) -> DataFrame:
+    """doc, text and the removed ranges of windows, of documents (doc, text) with numbers of their own."""
+    docs = docs.repartition("doc")
+    found = docs.mapInArrow(find_runs, RUN).repartition("fp").sortWithinPartitions("fp", "d1", "d2", "doc", "at")
+    found = found.withColumn("n", F.count("*").over(W.partitionBy("fp"))).where("n > 1 or end is not null")
+    edges = found.mapInArrow(by_anchor, EDGE)
+    lists = edges.groupBy("doc").agg(F.collect_list(F.struct("fp", "at", "end", "groups")).alias("rows"))
+    rows = docs.hint("merge").join(lists.hint("merge"), "doc").select("doc", "text", "rows").mapInArrow(fetch, ROW)
+    for last, kind in ((False, ROW), (True, RANGE)):
+        rows = rows.repartition("fp").sortWithinPartitions("fp").mapInArrow(by_suffix(last), kind)
+    out = rows.groupBy("doc").agg(F.collect_list(F.struct("at", "end")).alias("ranges"))
+    return docs.hint("merge").join(out.hint("merge"), "doc", "left").select("doc", "text", "ranges")
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,38 +452,45 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def numbered(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``df`` with a number for each row in column ``key``, ascending by id and text: the id itself, if it is one."""
+    small_batches(spark)
+    number, text = df[id_col].cast("long"), df[text_col].cast("string")
+    if not irregular(df.select(number.alias("doc_id"))):
+        return df.withColumn(key, number)
+    order, body = unused(df, "order"), unused(df, "body")
+    rows = df.withColumns({order: number, body: text}).repartitionByRange(order, body).sortWithinPartitions(order, body)
+    return written(spark, rows.drop(order, body).withColumn(key, F.monotonically_increasing_id()), "numbered")
+
+
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeated passages cut from its texts. Characters of which only a part is left go too;
     a document of which nothing is left is dropped."""
-    key, was, left = unused(df, "key"), unused(df, "was"), unused(df, "left")
+    key, doc, left = unused(df, "key"), unused(df, "doc"), unused(df, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [cut(t, s).decode("utf-8", "ignore") for t, s in each(b, 1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=[key, left])
-
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null")
-    if several_texts(docs):
-        # each text of an id is a document of its own, in the order of ids and texts
-        small_batches(df.sparkSession)
-        docs = docs.where("text != ''").distinct().repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-        docs = written(df.sparkSession, docs.withColumn("n", F.monotonically_increasing_id()), "texts")
-        kept = with_ranges(docs, "n", "text").where("ranges is not null").select("doc_id", "text", "ranges")
-        changed = kept.mapInArrow(run, f"{key} long, {left} string").withColumnRenamed(key, "n").hint("merge").join(docs.hint("merge"), "n")
-        changed = changed.select(F.col("doc_id").alias(key), F.col("text").alias(was), left)
-        same = (df[id_col].cast("long") == changed[key]) & (df[text_col].cast("string") == changed[was])
-    else:
-        kept = with_ranges(df, id_col, text_col).where("ranges is not null").select("doc_id", "text", "ranges")
-        changed = kept.mapInArrow(run, f"{key} long, {left} string")
-        same = df[id_col].cast("long") == changed[key]
-    out = df.join(changed, same, "left").where(F.col(key).isNull() | (F.col(left) != ""))
-    text = F.when(F.col(key).isNotNull(), F.col(left)).otherwise(df[text_col])
-    return out.select(*(text.alias(c) if c == text_col else df[c] for c in df.columns))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=[doc, left])
+
+    rows = numbered(df.sparkSession, df, id_col, text_col, key)
+    kept = with_ranges(rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))).where("ranges is not null")
+    changed = kept.mapInArrow(run, f"{doc} long, {left} string")
+    out = rows.join(changed, rows[key] == changed[doc], "left").where(F.col(doc).isNull() | (F.col(left) != ""))
+    text = F.when(F.col(doc).isNotNull(), F.col(left)).otherwise(F.col(text_col))
+    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes, removed bytes and spans of each document, and a digest of what is left."""
-    return with_ranges(df, id_col, text_col).mapInArrow(digest, RESULT)
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    rows = numbered(df.sparkSession, docs, "doc_id", "text", "doc")
+    out = with_ranges(rows.select("doc", "text"))
+    out = out.mapInArrow(digest, RESULT)
+    if not hasattr(rows, "_corvane_path"):
+        return out
+    names = rows.select("doc", F.col("doc_id").alias("name"))
+    return out.withColumnRenamed("doc_id", "doc").join(names, "doc").withColumnRenamed("name", "doc_id").select(*(x.split()[0] for x in RESULT.split(", ")))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

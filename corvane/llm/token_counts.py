@@ -2,9 +2,9 @@
 
 Only a count is needed, so no identifiers are produced: the symbols of a pre-token form a linked
 list, a heap holds its adjacent pairs by merge rank, and each pop of a live pair joins two
-symbols. The count is the number of initial symbols less the number of merges. Pre-tokens are
-counted once and remembered in a bounded cache; whole texts are cut into pieces that don't affect
-each other (see ``pieces``), and the counts of their pieces are added up.
+symbols. The count is the number of initial symbols less the number of merges. Whole texts are cut
+into segments that don't affect each other (see ``pieces``); a segment is counted once, and the counts
+of a text's segments are added up.
 
 Defined results. Null or empty text: 0 bytes, 0 tokens, not over the limit. Null doc_id: a row with
 a null id. Repeated rows: one row each. Empty table: empty result. Other columns are not read. A
@@ -13,18 +13,19 @@ very long text is counted whole, and one pre-token of n bytes costs n log n.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.pieces import GPT, Cache, find, loose
-from corvane.llm.shared import table
+from corvane.llm.pieces import GPT, SPACED, WHOLE, Segments, Table, loose
+from corvane.llm.shared import small_batches, table
+from corvane.llm.vec import KEPT, release
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,25 +40,23 @@ def byte_alphabet() -> list[str]:
     return [extra.get(b) or chr(b) for b in range(256)]
 
 
-class Merges:
-    """Counts tokens of a byte-level vocabulary."""
+class Merges(Segments):
+    """Counts tokens of a byte-level vocabulary. The value of a segment is its count."""
 
     def __init__(self, name: str = VOCABULARY):
-        with open(find(name), encoding="utf-8") as f:
-            spec = json.load(f)
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        super().__init__(name)
+        if not self.spaced:
+            raise ValueError(f"not a byte-level vocabulary that keeps spaces: {name}")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self.spec["model"]["merges"]]
         symbols = {c: i for i, c in enumerate(byte_alphabet())}
         self.rank: dict[int, int] = {}  # of a pair of symbols
         self.joined: list[int] = []  # the symbol that a merge makes
         for i, (a, b) in enumerate(merges):
             self.joined.append(symbols.setdefault(a + b, len(symbols)))
             self.rank.setdefault(symbols[a] << 32 | symbols[b], i)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
+        self.cut = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.pattern = regex.compile(GPT)
-        self.words = Cache(self.of_word)
-        self.plain = Cache(self.of_text)
-        self.after = Cache(self.of_spaced)
+        self.table = Table(self.learn)
 
     def of_word(self, word: str) -> int:
         """Initial symbols less merges."""
@@ -89,42 +88,56 @@ class Merges:
         return count
 
     def of_text(self, text: str) -> int:
-        if self.cut is None or not any(s in text for s in self.special):
-            return sum(map(self.words.__getitem__, self.pattern.findall(text)))
-        parts = self.cut.split(text)
-        return len(parts) - 1 + sum(sum(map(self.words.__getitem__, self.pattern.findall(p))) for p in parts)
-
-    def of_spaced(self, piece: str) -> int:
-        """Tokens of a piece that follows a space; -1 if it may join its neighbours."""
-        return -1 if loose(piece) else self.of_text(" " + piece)
+        """Tokens of a text by the pattern of the vocabulary; a string of an added token is one."""
+        parts = self.cut.split(text) if self.cut else [text]
+        return len(parts) - 1 + sum(self.of_word(w) for p in parts for w in self.pattern.findall(p))
+
+    def learn(self, kinds: list[int], bodies: list[bytes]) -> np.ndarray:
+        texts = [b.decode() for b in bodies]
+        return np.array([WHOLE if k <= SPACED and loose(t) else sum(map(self.of_text, self.parts(k, t))) for k, t in zip(kinds, texts, strict=True)], np.int64)
+
+    def of_column(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; null is empty."""
+        out = [np.zeros(0, np.int64)]
+        held = 0
+        for f in self.found(self.table, texts):
+            total = np.zeros(len(f.values) + 1, np.int64)
+            np.cumsum(f.values, out=total[1:])
+            n = np.diff(total[f.bounds])
+            for k, text in f.odd.items():
+                n[k] = self.of_text(text)
+            n[0] += held
+            first = np.flatnonzero(f.begins)
+            n = np.add.reduceat(n, first if f.begins[0] else np.append(0, first))
+            held = int(n[-1]) if f.more else 0
+            out.append(n[: len(n) - f.more])
+        return np.concatenate(out)
 
     def __call__(self, text: str | None) -> int:
-        if not text:
-            return 0
-        first, *rest = text.split(" ")
-        if not loose(first):
-            got = list(map(self.after.__getitem__, rest))
-            if -1 not in got:
-                return self.plain[first] + sum(got)
-        return self.of_text(text)
+        return int(self.of_column(pa.array([text], pa.string()))[0])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def merges(name: str) -> Merges:
     return Merges(name)
 
 
+KEPT.append(merges.cache_clear)
+
+
 def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Bytes and tokens of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(merges.cache_clear)
         of = merges(vocabulary)
         for b in batches:
             texts = b.column(1)
-            n = [of(texts[i].as_py()) for i in range(len(texts))]
+            n = of.of_column(texts)
             size = pa.compute.binary_length(texts).fill_null(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 

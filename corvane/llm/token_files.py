@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.pieces import ids
 from corvane.llm.shared import small_batches, table, written
+from corvane.llm.vec import release
 
 BLOCK = 256
 SHARD = 1 << 20
@@ -122,30 +123,31 @@ def decode(shard: bytes, begin: int = 0, end: int | None = None) -> np.ndarray:
     return out.reshape(-1)[begin - first * BLOCK : end - first * BLOCK]
 
 
-def write(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", spaced: bool = True, end_id: int = 0) -> DataFrame:
+def write(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """Encodes ``df`` and writes its files to the shared folder; returns them as read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end = ids(vocabulary, spaced), np.array([end_id], "<u4").tobytes()
+        release(ids.cache_clear)
+        of, end = ids(vocabulary), np.array([end_id], "<u4")
         part, done = TaskContext.get().partitionId(), 0
         docs, lengths, parts, size = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            row = {"part": part, "first_in_part": done, "n_tokens": size, "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(), "doc_null": docs[0] is None, "lengths": np.array(lengths, "<i8").tobytes(), "body": encode(np.frombuffer(b"".join(parts), "<u4"))}
+            row = {"part": part, "first_in_part": done, "n_tokens": size, "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(), "doc_null": docs[0] is None, "lengths": np.array(lengths, "<i8").tobytes(), "body": encode(np.concatenate(parts))}
             return pa.RecordBatch.from_arrays([pa.array([row[f.split()[0]]], t) for f, t in zip(FILES.split(", "), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in FILES.split(", ")])
 
         for b in batches:
-            texts = b.column(1)
-            for i in range(0, len(texts), 256):
-                for doc, got in zip(b.column(0)[i : i + 256].to_pylist(), of.of_texts(texts[i : i + 256].to_pylist()), strict=True):
-                    n = len(got) // 4 + 1
+            names = iter(b.column(0).to_pylist())
+            for got, bound in of.of_column(b.column(1)):
+                for x, y in zip(bound.tolist(), bound[1:].tolist(), strict=False):
+                    doc, n = next(names), y - x + 1
                     if docs and (size + n > SHARD or (docs[-1] is None) != (doc is None)):
                         yield shard()
                         done += size
                         docs, lengths, parts, size = [], [], [], 0
                     docs.append(doc)
                     lengths.append(n)
-                    parts += (got, end)
+                    parts += (got[x:y], end)
                     size += n
         if docs:
             yield shard()

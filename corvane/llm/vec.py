@@ -26,10 +26,11 @@ WHITE[[32, *range(9, 14)]] = True
 KEPT: list[Callable[[], None]] = []
 
 
-def release() -> None:
+def release(own: Callable[[], None] | None = None) -> None:
     """Python workers serve one operator after another: the next one frees what others have kept."""
     for clear in KEPT:
-        clear()
+        if clear is not own:
+            clear()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +78,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``most`` bytes, one row at least: bounds the working arrays."""
+def slices(offsets: np.ndarray, most: int = 1 << 20, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` bytes and ``rows`` rows at most, one row at least: bounds the working
+    arrays, and numbers of rows within them fit 16 bits."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield i, min(j, n)
+        j = min(j, i + rows, n)
+        yield i, j
         i = j
 
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from brute import bag, classes, jaccard
 
 from corvane.llm import near_dedup as nd
@@ -105,3 +106,14 @@ def test_each_text_of_an_id_is_compared(spark):
     df = spark.createDataFrame([(1, a), (1, b), (2, b + " end")], "doc_id long, text string")
     assert as_map(nd.classes_of(spark, df)) == {1: 1, 2: 1}
     assert sorted((r["doc_id"], r["text"]) for r in nd.keep(spark, df).collect()) == [(1, a), (1, b)]
+
+
+def test_batches_of_many_short_texts():
+    """More rows in an Arrow batch than 16 bits count: no document gets the shingles of another."""
+    n = 100_000
+    texts = pa.array([f"w{k % 50_000}" for k in range(n)], pa.string())
+    got = pa.Table.from_batches(nd.signed(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), texts], names=["doc_id", "text"])])))
+    assert got.column("doc_id").to_pylist() == list(range(n))
+    c1 = got.column("c1").to_numpy()
+    assert (c1[:50_000] == c1[50_000:]).all() and len(set(c1.tolist())) == 50_000
+    assert got.column("n").to_pylist() == [1] * n

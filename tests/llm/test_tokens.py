@@ -1,16 +1,21 @@
+import json
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import crc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.llm import packing, token_files
+from corvane.llm import packing, pieces, token_counts, token_files
 from corvane.llm.pieces import ids, tokenizer
 from corvane.llm.token_counts import merges, op8_token_counts
 
 ODD = [
     "", " ", "  two  spaces", "tab\tand\nline", "don't they'll I'm 's", "<|endoftext|>", "a<|endoftext|>b", "x <|endoftext|> y", "<|startoftext|>Hi there",
     "naïve café — “quotes” … 日本語 текст", "é combining", "trailing ", " leading", "a b  c d", "1234 567.89, 10%", "ABC'S Don'T", "…€→•§© signs €", "\x00\x01", "🙂🙂 👩‍👩‍👧", "word." * 50, "x" * 5000,
+    "a\n\n\nb\n \n c \n", "\n\n", "a\u00a0b \u00a0c\u2003 d", "\u0301x \u226e = \u0338", "\x1c a\x1cb \x1d", "a\x00b a\x00 a", None,
 ]
 
 
@@ -18,11 +23,39 @@ def plain_ids(vocabulary, text):
     return tokenizer(vocabulary).encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize(("vocabulary", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_pieces_give_the_ids_of_the_library(vocabulary, spaced, small, docs_of):
+VOCABULARIES = ("byte_bpe_50k.json", "word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("vocabulary", VOCABULARIES)
+def test_pieces_give_the_ids_of_the_library(vocabulary, small, docs_of):
     texts = ODD + [t for _, t in docs_of(small)[:300]]
-    for t, got in zip(texts, ids(vocabulary, spaced).of_texts(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == plain_ids(vocabulary, t), t[:200]
+    for t, got in zip(texts, ids(vocabulary).of_texts(texts), strict=True):
+        assert got.tolist() == plain_ids(vocabulary, t), t[:200]
+
+
+@pytest.mark.parametrize("vocabulary", VOCABULARIES)
+def test_small_tables_and_long_texts(vocabulary, small, docs_of, monkeypatch):
+    monkeypatch.setattr(pieces, "ENTRIES", 500)
+    monkeypatch.setattr(pieces, "SLICE", 1 << 9)
+    of, texts = pieces.Ids(vocabulary), [t for _, t in docs_of(small)[:60]]
+    texts += [" ".join(t or "" for t in texts), "<|endoftext|> a b " * 200, "ab" * 3000, "  \n a " * 500, None]
+    for t, got in zip(texts, of.of_texts(texts), strict=True):
+        assert got.tolist() == plain_ids(vocabulary, t)
+    if vocabulary == VOCABULARIES[0]:
+        counted = token_counts.Merges(vocabulary).of_column(pa.array(texts, pa.string()))
+        assert counted.tolist() == [len(plain_ids(vocabulary, t)) for t in texts]
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    spec = json.loads(Path(pieces.find("byte_bpe_50k.json")).read_text())
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    name = str(tmp_path / "other.json")
+    assert pieces.rules(spec) is None
+    for t, got in zip(ODD, pieces.Ids(name).of_texts(ODD), strict=True):
+        assert got.tolist() == plain_ids(name, t)
+    with pytest.raises(ValueError):
+        token_counts.Merges(name)
 
 
 TEXT = st.lists(st.sampled_from(list("abAB1 .,'\n\t é—́€<|>") + ["'s", "<|endoftext|>", "  ", " the", " "]), max_size=60).map("".join)
@@ -31,9 +64,9 @@ TEXT = st.lists(st.sampled_from(list("abAB1 .,'\n\t é—́€<|>") + ["'s", "<
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=5))
 def test_pieces_on_random_texts(texts):
-    for vocabulary, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        for t, got in zip(texts, ids(vocabulary, spaced).of_texts(texts), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == plain_ids(vocabulary, t)
+    for vocabulary in VOCABULARIES:
+        for t, got in zip(texts, ids(vocabulary).of_texts(texts), strict=True):
+            assert got.tolist() == plain_ids(vocabulary, t)
 
 
 @settings(max_examples=400, deadline=None)
