@@ -24,12 +24,12 @@ a document with an empty register gets a longer one, so signatures are unbiased.
 Sizes are filtered first (a ratio under the threshold can't reach it); nothing else is left out.
 
 Defined results. A text of one to four words: one shingle of all of them. Null or empty text, or one of
-white space only: a class of its own. Rows with one doc_id give one row: where their texts differ, the
-classes of all of them are one. Rows with a null doc_id are left out of ``classes_of``. ``keep`` goes by
-texts: of each group of near copies that several ids have, or rows without an id, one row stays, that of
-the smallest id. Texts that only one id has are versions of its document, of which the smallest stays.
-Rows with neither an id nor words go. Empty table: empty result. Other columns are not read by
-``classes_of`` and pass through ``keep``. Very long texts are processed whole.
+white space only: a class of its own. ``classes_of`` gives a row for each doc_id: where its rows have
+different texts, the classes of all of them are one; and a row for each row without a doc_id, whose class
+has no id either if none of its documents has one. To ``keep`` each row is a document: of each group of
+near copies one row stays, that of the smallest id, then text; rows without an id come last. Empty table:
+empty result. Other columns are not read by ``classes_of`` and pass through ``keep``. Very long texts are
+processed whole.
 """
 
 from __future__ import annotations
@@ -38,11 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import dropped, several_texts, small_batches, table, unused, written
+from corvane.llm.shared import dropped, irregular, small_batches, table, unused, written
 from corvane.llm.vec import Spans, column_bytes, mix, release, slices, word_spans
 
 U = np.uint64
@@ -151,6 +150,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes and counts of each text, as bytes."""
+    release()
     for b in batches:
         data, offsets = column_bytes(b.column(1))
         for i, j in slices(offsets):
@@ -162,6 +162,7 @@ def multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band keys and sketches of multisets, as bytes."""
+    release()
     for b in batches:
         for i in range(0, b.num_rows, 64):
             part = b.slice(i, 64)
@@ -250,6 +251,7 @@ def verified(edges: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     pairs = edges.hint("merge").join(one.hint("merge"), "b").hint("merge").join(two.hint("merge"), "a").select("a", "b", "bag_a", "bag_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             ok = [similarity(x.as_py(), y.as_py()) >= threshold for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -270,10 +272,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             out = out.union(low.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    state = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few=True)
     mark = None
     while True:
-        nxt = written(spark, star(star(state, True), False), "edges")
+        nxt = written(spark, star(star(state, True), False), "edges", few=True)
         dropped(spark, state)
         state = nxt
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -320,7 +322,7 @@ def grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> DataFrame
         cells = cells.hint("merge").join(fine.hint("merge"), F.col("rep") == F.col("id")).drop("id")
         cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         pairs = cells.mapInArrow(crossed(threshold, nearest), "a long, b long").distinct().hint("merge").join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = written(spark, pairs, "pairs")
+        pairs = written(spark, pairs, "pairs", few=True)
         more = written(spark, verified(pairs, bags, threshold), "links")
         held += [pairs, more]
         tested = tested.union(pairs)
@@ -334,11 +336,6 @@ def grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> DataFrame
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
-def wordy() -> Column:
-    """Whether ``text`` has a word."""
-    return F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
-
-
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
@@ -354,15 +351,17 @@ def numbered(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, key
 def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its group of near copies."""
     small_batches(spark)
-    docs = documents(df, id_col, text_col).where("doc_id is not null")
-    if not several_texts(docs):
+    docs = documents(df, id_col, text_col)
+    if not irregular(docs):
         return grouped(spark, docs, threshold)
     _, found = numbered(spark, docs, "doc_id", "text", "key", threshold)
-    found = written(spark, found.select("doc_id", "class_id").distinct(), "found")
+    found = written(spark, found.select("doc_id", "class_id"), "found")
     # classes that share a document are one, and named by their smallest document
-    least = found.groupBy("doc_id").agg(F.min("class_id").alias("a"))
-    roots = components(spark, found.hint("merge").join(least.hint("merge"), "doc_id").select("a", F.col("class_id").alias("b")).distinct())
-    whole = least.hint("merge").join(roots.hint("merge"), F.col("a") == F.col("id"), "left").select("doc_id", F.coalesce("root", "a").alias("root"))
+    named = found.where("doc_id is not null").distinct()
+    least = named.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    roots = components(spark, named.hint("merge").join(least.hint("merge"), "doc_id").select("a", F.col("class_id").alias("b")).distinct())
+    rooted = lambda rows, c: rows.hint("merge").join(roots.hint("merge"), F.col(c) == F.col("id"), "left").select("doc_id", F.coalesce("root", c).alias("root"))
+    whole = rooted(least, "a").union(rooted(found.where("doc_id is null"), "class_id"))
     names = whole.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return whole.hint("merge").join(names.hint("merge"), "root").select("doc_id", "class_id")
 
@@ -370,27 +369,13 @@ def classes_of(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
 def keep(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, with all columns."""
     small_batches(spark)
-    docs = documents(df, id_col, text_col)
-    if docs.where(F.col("doc_id").isNull() & wordy()).head(1) or several_texts(docs.where("doc_id is not null")):
-        return keep_by_text(spark, df, id_col, text_col, threshold)
-    kept, first = unused(df, "kept"), unused(df, "first")
-    ids = classes_of(spark, df, id_col, text_col, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(kept))
-    out = df.hint("merge").join(ids.hint("merge"), df[id_col].cast("long") == F.col(kept), "left_semi")
-    number = F.row_number().over(W.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).cast("string")))
-    return out.withColumn(first, number).where(F.col(first) == 1).drop(first)
-
-
-def keep_by_text(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """``keep`` where ids have several texts, or texts have no id."""
     key = unused(df, "key")
+    if not irregular(documents(df, id_col, text_col)):
+        ids = classes_of(spark, df, id_col, text_col, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(key))
+        return df.hint("merge").join(ids.hint("merge"), df[id_col].cast("long") == F.col(key), "left_semi")
     rows, found = numbered(spark, df, id_col, text_col, key, threshold)
-    found = found.where(F.col("doc_id").isNotNull() | wordy())
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "key")).alias("best")
-    groups = found.groupBy("class_id").agg(best, F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("some_none"))
-    groups = written(spark, groups.select("best.*", (F.col("some_none") | (F.col("last") != F.col("best.doc_id"))).alias("shared")), "groups")
-    version = F.min(F.struct((~wordy()).alias("blank"), "text", "key"))["key"].alias("key")
-    own = groups.where("not shared").groupBy("doc_id").agg(version).select("key")
-    stay = groups.where("shared").select("key").union(own).select(F.col("key").alias(key))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "key"))["key"].alias(key)
+    stay = found.groupBy("class_id").agg(best).select(key)
     return rows.hint("merge").join(stay.hint("merge"), key, "left_semi").select(*df.columns)
 
 

@@ -10,18 +10,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset (tests on one machine), a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where unset on one machine, as in tests, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def written(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+    Deleted by ``dropped``, or else when the driver ends. ``few``: no more files than the cluster has cores,
+    for tables of ids alone, whose files would be tiny."""
+    if few:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
     return out
@@ -47,13 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def several_texts(docs: DataFrame) -> bool:
-    """Whether any doc_id has different texts (null is one)."""
-    mark = docs.select("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("mark"))
-    spread = mark.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
-    return bool(spread.where("low <> high").head(1))
-
-
 def irregular(docs: DataFrame) -> bool:
     """Whether rows have no doc_id, or share one."""
     return bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").head(1))

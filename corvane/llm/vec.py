@@ -7,6 +7,7 @@ spans of different lengths cost the same.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,15 +23,22 @@ WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 
 
+#: Of the C library, where it has it.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Clears what an operator keeps in a worker process from task to task.
 KEPT: list[Callable[[], None]] = []
 
 
 def release(own: Callable[[], None] | None = None) -> None:
-    """Python workers serve one operator after another: the next one frees what others have kept."""
+    """Python workers serve one task after another: the next one frees what other operators have kept, and
+    gives memory that is free back to the system."""
     for clear in KEPT:
         if clear is not own:
             clear()
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

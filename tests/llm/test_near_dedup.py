@@ -86,18 +86,20 @@ def test_keep_returns_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(2, text, "x"), (1, text + " end", "y"), (3, "other", "z"), (3, "another", "z"), (4, None, "n"), (None, text, "q")], "doc_id long, text string, rep string")
     out = sorted((r["doc_id"], r["rep"]) for r in nd.keep(spark, df).collect())
-    assert out == [(1, "y"), (3, "z"), (4, "n")]
+    assert out == [(1, "y"), (3, "z"), (3, "z"), (4, "n")]
 
 
 def test_ids_with_several_texts_lose_no_group(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
     rows = [(7, a), (8, a + " end"), (3, b), (7, b), (20, c), (20, "x"), (21, c), (30, d), (None, a), (None, "alone"), (None, "alone"), (None, " "), (None, None)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, key string").repartition(3)
-    assert as_map(nd.classes_of(spark, df)) == {3: 3, 7: 3, 8: 3, 20: 20, 21: 20, 30: 30}
+    out = nd.classes_of(spark, df).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out if r["doc_id"]} == {3: 3, 7: 3, 8: 3, 20: 20, 21: 20, 30: 30}
+    assert sorted(str(r["class_id"]) for r in out if r["doc_id"] is None) == ["3", "None", "None", "None", "None"]
     out = nd.keep(spark, df)
     assert out.columns == df.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
-    assert got == sorted([(7, a), (3, b), (20, c), (20, "x"), (30, d), (None, "alone")], key=str)
+    assert got == sorted([(7, a), (3, b), (20, c), (20, "x"), (30, d), (None, "alone"), (None, " "), (None, None)], key=str)
 
 
 def test_each_text_of_an_id_is_compared(spark):
