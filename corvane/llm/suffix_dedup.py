@@ -12,7 +12,7 @@ anywhere, so suffixes are first dealt into groups such that equal 100-byte strin
    them, byte for byte, and pass on the first of each: a passage in a third of all rows goes on once.
 2. Anchors with one run are done: nothing else can be equal to its windows. Of the others, runs that are
    equal as a whole to an earlier one are dropped too, by a cryptographic digest of their bytes
-   (BLAKE2b, 128 bits), and anchors that then have one run left are done.
+   (BLAKE2b, 96 bits, within an anchor), and anchors that then have one run left are done.
 3. Runs of the rest, where texts begin to differ, fetch their bytes and meet by anchor. An anchor with
    more than ``GROUP`` runs is dealt to several groups, by the content of each window, and in two rounds: first with a part of the
    documents each, then the windows without an earlier match there. So a group has about ``GROUP`` rows
@@ -52,7 +52,7 @@ WIDEST = WINDOW + LENGTH - 1  # bytes of a run
 PIECE, SLAB, PART = 1 << 18, 1 << 19, 8 << 20  # bytes worked on at once: a text, runs of groups, texts of one task
 U = np.uint64
 # at: first window << 8 | windows. A row with an end is a removed range of windows.
-RUN = "fp long, d1 long, d2 long, doc long, at long, end long"
+RUN = "fp long, d1 long, d2 int, doc long, at long, end long"
 EDGE = "fp long, doc long, at long, end long, groups long"
 ROW = "fp long, then long, doc long, at long, end long, body binary"
 RANGE = "doc long, at long, end long"
@@ -132,15 +132,15 @@ def removed_rows(doc: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[
 
 
 def batch(names: str, **columns) -> pa.RecordBatch:
-    """A batch of long columns, and ``body``; missing ones are null."""
-    n = len(columns["doc"])
+    """A batch with columns of these names and types; missing ones are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     cols = []
     for name, kind in (x.split() for x in names.split(", ")):
         c = columns.get(name)
         if c is None:
-            c = pa.nulls(n, pa.binary() if kind == "binary" else pa.int64())
+            c = pa.nulls(len(columns["doc"]), kinds[kind])
         elif isinstance(c, np.ndarray):
-            c = pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64))
+            c = pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c, kinds[kind])
         cols.append(c)
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in names.split(", ")])
 
@@ -187,9 +187,9 @@ def _found(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[p
     if len(first):
         place, raw = offsets[row[first]] + start[first], data.tobytes()
         size = many[first] + LENGTH - 1
-        digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(place.tolist(), (place + size).tolist(), strict=True))
-        d = np.frombuffer(digests, "<i8").reshape(-1, 2)
-        yield batch(RUN, fp=fp[first], d1=d[:, 0], d2=d[:, 1], doc=doc[first], at=(start << 8 | many)[first])
+        digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=12).digest() for x, y in zip(place.tolist(), (place + size).tolist(), strict=True))
+        d = np.frombuffer(digests, np.dtype([("d1", "<i8"), ("d2", "<i4")]))
+        yield batch(RUN, fp=fp[first], d1=d["d1"], d2=d["d2"], doc=doc[first], at=(start << 8 | many)[first])
     if later.any():
         d, s, e = removed_rows(doc[later], start[later], many[later])
         yield batch(RUN, fp=mix(d.astype(np.uint64)), doc=d, at=s << 8, end=e)
@@ -198,6 +198,7 @@ def _found(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[p
 def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2 over rows in the order of anchor, digest and position, with the number of rows of the anchor. Rows
     out: removed ranges, and the runs of anchors that have different ones. One row is held between batches."""
+    release()
     last, held, opened = None, None, None  # the row before; the only run of its anchor so far; an anchor with several
     for b in batches:
         gone = b.column("end").is_valid().to_numpy(zero_copy_only=False)
@@ -235,6 +236,7 @@ def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: documents with their rows of step 2. Rows out: removed ranges, runs with their bytes, and
     the windows of anchors with several groups, with the group of the second round."""
+    release()
     for b in batches:
         data, offsets = column_bytes(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -251,12 +253,12 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(ROW, fp=mix(doc[gone].astype(np.uint64)), doc=doc[gone], at=at[gone], end=end[gone])
         place = offsets[row] + start
         plain = np.flatnonzero(~gone & (groups == 1))
-        for i in range(0, len(plain), 10_000):
-            p = plain[i : i + 10_000]
+        for i in range(0, len(plain), 2000):
+            p = plain[i : i + 2000]
             yield batch(ROW, fp=fp[p], doc=doc[p], at=at[p], body=bodies(data, place[p], many[p] + LENGTH - 1))
         crowd = np.flatnonzero(~gone & (groups > 1))
-        for i in range(0, len(crowd), 1000):
-            p = crowd[i : i + 1000]
+        for i in range(0, len(crowd), 50):
+            p = crowd[i : i + 50]
             which, step = np.repeat(p, many[p]), steps(many[p])
             at_, d, w = place[which] + step, doc[which], start[which] + step
             low = int(at_.min())
@@ -433,7 +435,7 @@ def each(b: pa.RecordBatch, text: int, lists: int) -> Iterator[tuple[bytes, list
 
 def with_ranges(docs: DataFrame) -> DataFrame:
     """doc, text and the removed ranges of windows, of documents (doc, text) with numbers of their own."""
-    docs = docs.repartition("doc")
+    docs = docs.where("doc is not null").repartition("doc")  # as joins see it, so that all read one exchange
     found = docs.mapInArrow(find_runs, RUN).repartition("fp").sortWithinPartitions("fp", "d1", "d2", "doc", "at")
     found = found.withColumn("n", F.count("*").over(W.partitionBy("fp"))).where("n > 1 or end is not null")
     edges = found.mapInArrow(by_anchor, EDGE)
@@ -446,6 +448,7 @@ def with_ranges(docs: DataFrame) -> DataFrame:
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         rows = [(len(t), sum(y - x for x, y in s), len(s), hashlib.sha256(cut(t, s)).hexdigest()) for t, s in each(b, 1, 2)]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
