@@ -6,8 +6,9 @@ filled greedily with the longest piece that fits; then its smallest piece gives
 pieces that fit the expanded gap more tightly, if there are such, until none does better. A bin is
 planned once for as many copies as the histogram holds, so the plan has a few rows for each length
 however many documents there are. Pieces take their places by their rank among pieces of their length;
-ranks come from counts by (length, bucket of the piece's hash), so a length that a third of all pieces
-share is ranked by many tasks.
+ranks come from counts by (length, bucket of the piece's hash). A length of n pieces has n / ``BUCKET``
+buckets, or the square root of n if that is less: a length that a third of all pieces share is ranked by
+many tasks, and so few counts are summed in a row.
 
 Defined results. Null or empty text: one piece of the end id. Rows with a null doc_id are packed like
 others. Repeated rows: pieces are told apart by a number within (doc_id, piece), so each is packed once.
@@ -17,6 +18,7 @@ Empty table: empty result. Other columns are not read. A very long text is encod
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ from corvane.llm.vec import release
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = PIECES + ", sequence_id long, offset long"
-BUCKET = 100_000
+BUCKET = 500
 
 
 def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
@@ -124,9 +126,10 @@ def pack(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: s
     pieces = written(spark, cut_pieces(df, id_col, text_col, capacity, vocabulary, end_id), "pieces")
     histogram = dict(pieces.groupBy("length").count().collect())  # capacity rows at most
     places = {x: np.array(rows, np.int64) for x, rows in plan(histogram, capacity).items()}
-    buckets = max(1, sum(histogram.values()) // BUCKET)
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
-    pieces = pieces.withColumn("bucket", spread)
+    buckets = [(x, -(-n // max(BUCKET, math.isqrt(n)))) for x, n in histogram.items()]
+    known = F.broadcast(spark.createDataFrame(buckets, "length long, buckets long"))  # capacity rows at most
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("buckets"))
+    pieces = pieces.join(known, "length").withColumn("bucket", spread)
     base = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     base = base.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base"))
     rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1

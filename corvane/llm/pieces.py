@@ -283,6 +283,7 @@ class Ids(Segments):
 
     def __init__(self, name: str):
         super().__init__(name)
+        del self.spec
         self.library = tokenizer(name)
         names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.begins = np.array([x.startswith("\u0120") for x in names])

@@ -54,6 +54,7 @@ class Merges(Segments):
         for i, (a, b) in enumerate(merges):
             self.joined.append(symbols.setdefault(a + b, len(symbols)))
             self.rank.setdefault(symbols[a] << 32 | symbols[b], i)
+        del self.spec
         self.cut = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.pattern = regex.compile(GPT)
         self.table = Table(self.learn)

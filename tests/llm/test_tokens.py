@@ -171,6 +171,39 @@ def test_plan_is_valid_and_no_worse_than_first_fit(lengths):
     assert len(used) <= len(gaps) + 1
 
 
+def best_two_fit(lengths, capacity):
+    """Bins of distinct lengths: filled greedily, then the smallest piece gives way to the two unpacked ones that
+    leave the smallest gap (of equal ones the most even), as long as they leave a smaller one."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        got, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                got.append(x)
+                left.remove(x)
+                gap -= x
+        while gap:
+            small = min(got)
+            pairs = [(a + b, -a, b) for a in left for b in left if b < a and small < a + b <= gap + small]
+            if not pairs:
+                break
+            total, a, b = max(pairs)
+            got = [x for x in got if x != small] + [-a, b]
+            left = sorted([x for x in left if x not in (-a, b)] + [small], reverse=True)
+            gap += small - total
+        bins.append(sorted(got))
+    return sorted(bins)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(1, 100), min_size=1, max_size=40))
+def test_plan_is_best_two_fit(lengths):
+    bins = {}
+    for x, places in packing.plan(dict.fromkeys(lengths, 1), 100).items():
+        bins.setdefault(places[0][1], []).append(x)
+    assert sorted(map(sorted, bins.values())) == best_two_fit(lengths, 100)
+
+
 def test_two_smaller_documents_replace_the_smallest():
     # greedy: 60 and 30; 25 and 15 fill the gap of 40 exactly in place of 30
     plan = packing.plan({60: 1, 30: 1, 25: 1, 15: 1}, 100)
