@@ -1,18 +1,19 @@
 """A quality classifier on supervised subword embeddings (operator 4).
 
-Features of a document are its words, pairs of equal words up to four words apart (one feature for
-each distance), and the character 3-, 4- and 5-grams of its words with their boundaries, hashed to ``BUCKETS`` learned vectors; the document vector is their average and a softmax
-gives the two classes. Vectors and output weights are trained on the driver by stochastic gradient
-descent in numpy, on a bounded sample: at most ``MOST_ROWS`` labelled documents (those with the
-smallest hashes of their ids) of at most ``MOST_BYTES`` bytes each. Scoring covers every whole text:
-the average of vectors times the output weights is the average of one number for each bucket, so
-the trained model is an array of ``BUCKETS`` floats and a bias.
+Features of a document are its words, its word 2- and 3-grams, and the character 3-, 4- and 5-grams of
+its words with their boundaries, hashed to ``BUCKETS`` learned vectors; the document vector is their
+average and a softmax gives the two classes. Vectors and output weights are trained on the driver by
+stochastic gradient descent in numpy, on a bounded sample: at most ``MOST_ROWS`` labelled documents
+(those with the smallest hashes of their ids), whole. Scoring covers every whole text: the average of
+vectors times the output weights is the average of one number for each bucket, so the trained model is
+an array of ``BUCKETS`` floats and a bias.
 
 Labels are read only where crc32(doc_id as text) mod 3 is not 1; scores depend on the text alone.
 
 Defined results. Null or empty text, and text of white space only: the model's bias alone. Null doc_id:
 a row with a null id, not held out. Repeated rows: one row each. Empty table: empty result; without any
-label, or labels of one class, the score is the share of label 1 (0.5 without labels). Other columns
+label, or labels of one class, the score is the share of label 1 with one row of each class added (0.5
+without labels). Other columns
 are not read.
 """
 
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import table
-from corvane.llm.vec import WHITE, Spans, column_bytes, slices, word_spans
+from corvane.llm.shared import small_batches, table
+from corvane.llm.vec import WHITE, Spans, column_bytes, mix, release, slices, word_spans
 
-BUCKETS, WIDTH, GRAMS, LAGS = 1 << 17, 8, (3, 4, 5), (1, 2, 3, 4)
-MOST_ROWS, MOST_BYTES, EPOCHS, RATE, BATCH = 4000, 20_000, 6, 0.5, 32
+BUCKETS, WIDTH, GRAMS, WORD_GRAMS = 1 << 17, 8, (3, 4, 5), (2, 3)
+MOST_ROWS, EPOCHS, RATE, BATCH = 4000, 6, 0.25, 32
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -43,10 +44,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, row = word_spans(data, offsets)
     words = spans.hash(starts, ends)
     buckets, rows = [words & np.uint64(BUCKETS - 1)], [row]
-    for lag in LAGS:  # word pairs of which only their equality matters
-        same = np.flatnonzero((words[lag:] == words[:-lag]) & (row[lag:] == row[:-lag]))
-        buckets.append(np.full(len(same), lag, np.uint64))
-        rows.append(row[same])
+    gram = words
+    for n in WORD_GRAMS:  # one word longer than the last
+        gram = mix(gram[: len(words) - n + 1] * np.uint64(3) + words[n - 1 :])
+        one = row[: len(gram)] == row[n - 1 :]
+        buckets.append(gram[one] & np.uint64(BUCKETS - 1))
+        rows.append(row[: len(gram)][one])
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     lead_row = np.searchsorted(offsets, lead, "right") - 1
     gap = np.concatenate([[0], np.cumsum(white[lead])])
@@ -129,7 +132,10 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id"
     # a broadcast of BUCKETS floats, whatever the input
     held = df.sparkSession.sparkContext.broadcast(scores.astype(np.float32))
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             p = 1 / (1 + np.exp(-logits(b.column(2), held.value, bias)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -142,12 +148,11 @@ def held_out(key) -> F.Column:
     return F.crc32(key.cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float]:
     """Fits the model on labelled documents that aren't held out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    texts = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    rows = known.join(texts, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).toArrow()
+    rows = known.join(docs.select("doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).toArrow()
     rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))
     return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64))
 
