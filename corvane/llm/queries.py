@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import url_filters
+from corvane.llm import chat_format, url_filters
 from corvane.llm.chat_format import op3_chat_format
 from corvane.llm.decontamination import op1_decontamination
 from corvane.llm.near_dedup import op7_near_dedup
@@ -23,4 +23,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op5_url_filters": url_filters.ORACLE}
