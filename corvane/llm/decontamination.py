@@ -15,11 +15,12 @@ an item nor to a common subsequence. So each text becomes an array of term numbe
 4. Candidates with too few words of the item for step 5 go, by table lookups over all of them at once.
 5. The others are checked exactly: the longest common subsequence (LCS) of item and window, widened by
    half its length to both sides, must hold ``LCS_SHARE`` of the item's words; and of the answer, the
-   last fifth of the item unless a column gives it, ``ANSWER_SHARE``. The answer check falls away where
-   the LCS holds ``SURE`` of the item. Insertions, deletions, and exchanged words leave these intact.
+   last fifth of the item unless a column gives it, ``ANSWER_SHARE``. Insertions, deletions, and exchanged
+   words leave these intact.
 
-The broadcast is bounded by the benchmark (``MOST_ITEMS`` items); nothing of the documents comes to the
-driver but RANK numbers a benchmark term and a RANK x RANK matrix.
+A benchmark is searched in parts of at most ``MOST_BYTES`` bytes and ``MOST_TERMS`` different words (one item
+at least), one part after another: what is broadcast is bounded by 4 x ``RANK`` bytes a term of a part. Nothing
+of the documents comes to the driver but RANK numbers a term and a RANK x RANK matrix.
 
 Defined results. Null or empty text, or item: no match. Null doc_id: matches with a null id. Rows with
 one doc_id: one result row a matched item. Empty documents or benchmark: empty result, everything
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import small_batches, table, written
-from corvane.llm.vec import Spans, column_bytes, slices, word_spans
+from corvane.llm.vec import Spans, column_bytes, release, slices, word_spans
 
 PASSAGE, RANK, COSINE = 64, 64, 0.45
-LCS_SHARE, ANSWER_SHARE, SURE = 0.6, 0.5, 0.8
-MOST_ITEMS, GROUP = 100_000, 1 << 14
+LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
+MOST_BYTES, MOST_TERMS, GROUP = 8 << 20, 200_000, 1 << 14
 ENCODED = "doc_id long, terms binary"
 RESULT = "doc_id long, item_id long, lcs_share double, answer_share double, start_word long, end_word long"
 
@@ -74,8 +76,6 @@ class Benchmark:
     """The items as arrays of term numbers (from 1; 0 is any other word)."""
 
     def __init__(self, ids: list, texts: list[str | None], answers: list[str | None] | None = None):
-        if len(ids) > MOST_ITEMS:
-            raise ValueError(f"more than {MOST_ITEMS} benchmark items: search them in parts")
         words = [word_hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for t in texts]
         self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
         self.filter = np.zeros(1 << 20, bool)
@@ -171,9 +171,15 @@ class Retrieval:
         self.least = np.array([int(np.ceil(LCS_SHARE * len(seq))) for _, seq, _ in bench.items], np.int64)
         every = np.concatenate([np.array(seq, np.int64) + k * bench.size for k, (_, seq, _) in enumerate(bench.items)])
         self.keys, self.times = np.unique(every, return_counts=True)
-        self.table = np.zeros((len(bench.items), bench.size), np.uint16) if len(bench.items) * bench.size <= 1 << 27 else None
-        if self.table is not None:
-            self.table.reshape(-1)[self.keys] = self.times
+
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        """How often each item has each term, if that is small; made by the worker that needs it."""
+        if len(self.bench.items) * self.bench.size > 1 << 25:
+            return None
+        out = np.zeros((len(self.bench.items), self.bench.size), np.uint16)
+        out.reshape(-1)[self.keys] = self.times
+        return out
 
     def often(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
         """How often items have terms."""
@@ -242,7 +248,7 @@ class Retrieval:
                     if share < LCS_SHARE or (n, k) in best and best[n, k][0] >= share:
                         continue
                     said = lcs(answer, window) / len(answer)
-                    if said >= ANSWER_SHARE or share >= SURE:
+                    if said >= ANSWER_SHARE:
                         best[n, k] = share, said, a, b
             for (n, k), (share, said, a, b) in best.items():
                 text, at = parts[done + n]
@@ -266,11 +272,12 @@ def lcs(a: list[int], b: list[int]) -> int:
 def fit(spark: SparkSession, encoded: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 11) -> Retrieval:
     """The randomised SVD over all passages."""
     size = bench.size
-    rank = min(rank, size)
+    rank = max(1, min(rank, size // 4))  # fewer dimensions than terms, else nothing is latent
     probe = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
     held = spark.sparkContext.broadcast(probe)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, often, n = np.zeros((size, rank)), np.zeros(size, np.int64), 0
         for group in grouped(np.frombuffer(t.as_py(), np.int32) for b in batches for t in b.column(0)):
             term, place, many = passages(group)
@@ -310,6 +317,7 @@ def fit(spark: SparkSession, encoded: DataFrame, bench: Benchmark, rank: int = R
     step = spark.sparkContext.broadcast((idf[:, None] * basis).astype(np.float32))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         small = np.zeros((rank, rank))
         for group in grouped(np.frombuffer(t.as_py(), np.int32) for b in batches for t in b.column(0)):
             z = project(*passages(group), step.value)
@@ -330,26 +338,48 @@ def encode(spark: SparkSession, df: DataFrame, bench: Benchmark, id_col: str, te
     held = spark.sparkContext.broadcast(bench)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tobytes() for t in held.value.rows(b.column(1))], pa.binary())], names=["doc_id", "terms"])
 
     return written(spark, df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, ENCODED), "terms")
 
 
-def benchmark_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> Benchmark:
-    cols = [items[id_col], items[text_col], *([items[answer_col]] if answer_col else [])]
-    rows = items.select(*cols).limit(MOST_ITEMS + 1).collect()
-    return Benchmark([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows] if answer_col else None)
+def benchmark_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> list[Benchmark]:
+    """The parts of a benchmark, each collected by itself."""
+    text = F.coalesce(items[text_col].cast("string"), F.lit(""))
+    cols = items.select(items[id_col].alias("id"), text.alias("text"), (items[answer_col] if answer_col else F.lit(None)).cast("string").alias("answer"))
+    size = cols.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // (MOST_BYTES // 2)  # by hash, so half full at most on average
+    dealt = cols.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    out: list[Benchmark] = []
+    for k in range(parts):
+        out += divided([tuple(r)[:3] for r in dealt.where(F.col("part") == k).collect()])
+    return out
+
+
+def divided(rows: list[tuple]) -> list[Benchmark]:
+    """Items (id, text, answer) as one part, or in halves while they have too many terms."""
+    bench = Benchmark(*map(list, zip(*rows, strict=True))) if rows else None
+    if bench is None or not bench.items:
+        return []
+    if bench.size <= MOST_TERMS or len(rows) == 1:
+        return [bench]
+    return divided(rows[: len(rows) // 2]) + divided(rows[len(rows) // 2 :])
 
 
-def matches(spark: SparkSession, df: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(spark: SparkSession, df: DataFrame, parts: list[Benchmark], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and item that it holds."""
-    if not bench.items:
-        return spark.createDataFrame([], RESULT)
+    out = [part_matches(spark, df, bench, id_col, text_col) for bench in parts if bench.items]
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], RESULT)
+
+
+def part_matches(spark: SparkSession, df: DataFrame, bench: Benchmark, id_col: str, text_col: str) -> DataFrame:
     encoded = encode(spark, df, bench, id_col, text_col)
     held = spark.sparkContext.broadcast(fit(spark, encoded, bench))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             found = list(held.value.search([np.frombuffer(t.as_py(), np.int32) for t in b.column(1)]))
             if found:
@@ -360,15 +390,21 @@ def matches(spark: SparkSession, df: DataFrame, bench: Benchmark, id_col: str =
     return encoded.mapInArrow(run, RESULT).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def clean(spark: SparkSession, df: DataFrame, bench: Benchmark, text_col: str = "text") -> DataFrame:
+def clean(spark: SparkSession, df: DataFrame, parts: list[Benchmark], text_col: str = "text") -> DataFrame:
     """The rows without any item, with all columns."""
-    if not bench.items:
-        return df
+    for bench in parts:
+        if bench.items:
+            df = part_clean(spark, df, bench, text_col)
+    return df
+
+
+def part_clean(spark: SparkSession, df: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
     encoded = encode(spark, df.select(F.lit(0).alias("doc_id"), df[text_col].alias("text")), bench, "doc_id", "text")
     held = spark.sparkContext.broadcast(fit(spark, encoded, bench))
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             dirty = {n for n, *_ in held.value.search(held.value.bench.rows(b.column(at)))}
             yield b.filter(pa.array([i not in dirty for i in range(b.num_rows)], pa.bool_()))

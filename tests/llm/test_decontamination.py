@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,8 +55,47 @@ def test_planted_paraphrases(spark, planted):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def slow_matches(docs, items):
+    """Every window of every text against every item, in plain Python."""
+    out = set()
+    for k, item in items:
+        a = item.lower().split()
+        length = max(8, 1 << (len(a) - 1).bit_length())
+        answer = a[-max(1, len(a) // 5) :]
+        for d, text in docs:
+            w = text.lower().split()
+            for at in range(0, max(1, len(w) - length + length // 4 + 1), length // 4):
+                window = w[max(0, at - length // 2) : at + length + length // 2]
+                if sum((Counter(a) & Counter(window)).values()) >= 0.6 * len(a) and slow_lcs(a, window) >= 0.6 * len(a) and slow_lcs(answer, window) >= 0.5 * len(answer):
+                    out.add((d, k))
+                    break
+    return out
+
+
+def test_agrees_with_brute_force(spark, planted):
+    items, docs, _ = planted
+    # also items without their end, which fail by the answer, and short texts
+    docs = docs + [(200 + k, " ".join(t.split()[: len(t.split()) * 7 // 10])) for k, t in items] + [(300, "a"), (301, items[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = dc.benchmark_of(spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in dc.matches(spark, df, bench).collect()} == slow_matches(docs, items)
+
+
+def test_a_benchmark_in_parts_finds_the_same(spark, planted, monkeypatch):
+    items, docs, want = planted
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(dc, "MOST_BYTES", 1500)
+    monkeypatch.setattr(dc, "MOST_TERMS", 120)
+    parts = dc.benchmark_of(rows)
+    assert len(parts) > 3 and sorted(i for p in parts for i, _, _ in p.items) == [k for k, _ in items]
+    assert all(p.size <= 120 or len(p.items) == 1 for p in parts)
+    assert {(r["doc_id"], r["item_id"]) for r in dc.matches(spark, df, parts).collect()} == want
+    assert {r["doc_id"] for r in dc.clean(spark, df, parts).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_candidate_search_loses_nothing_that_checking_every_window_finds(spark, small, docs_of, monkeypatch):
-    bench = dc.benchmark_of(spark.read.parquet(f"{small}/benchmark.parquet"))
+    (bench,) = dc.benchmark_of(spark.read.parquet(f"{small}/benchmark.parquet"))
     got = {(r["doc_id"], r["item_id"]) for r in dc.op1_decontamination(spark, small).collect()}
     everything = dc.Retrieval(bench, np.zeros((bench.size, 2)))
     monkeypatch.setattr(dc, "COSINE", -1.0)
@@ -71,7 +111,7 @@ def test_long_text_is_searched_whole(spark):
     rng = random.Random(1)
     text = " ".join(f"w{rng.randrange(500)}" for _ in range(60_000)) + " " + item
     bench = dc.Benchmark([5], [item])
-    rows = dc.matches(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).collect()
+    rows = dc.matches(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), [bench]).collect()
     assert [(r["doc_id"], r["item_id"]) for r in rows] == [(1, 5)]
     assert rows[0]["end_word"] == 60_030
 
@@ -87,8 +127,8 @@ def test_answer_check(spark):
 
 def test_empty_benchmark_and_items(spark):
     df = spark.createDataFrame([(1, "some text"), (2, None), (3, "")], "doc_id long, text string")
-    assert dc.matches(spark, df, dc.Benchmark([], [])).count() == 0
-    assert dc.clean(spark, df, dc.Benchmark([1], [""])).count() == 3
-    bench = dc.Benchmark([1, 2], [None, "some text here to find"])
+    assert dc.matches(spark, df, [dc.Benchmark([], [])]).count() == dc.matches(spark, df, []).count() == 0
+    assert dc.clean(spark, df, [dc.Benchmark([1], [""])]).count() == 3
+    bench = [dc.Benchmark([1, 2], [None, "some text here to find"])]
     assert dc.matches(spark, df.where("false"), bench).count() == 0
     assert dc.clean(spark, df, bench).count() == 3
