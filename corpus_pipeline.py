@@ -9,27 +9,30 @@ from corvane.llm.shared import table, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. Texts without words go; ids, and columns but the text, are not read;
+    repeated rows are judged alike, so all of them stay or go."""
     return quality_rules.keep(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id. Each row is a document: rows with
+    one id, or none, stay if their texts aren't near copies; so do all texts without words."""
     return near_dedup.keep(spark, docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier text has; documents with nothing left go."""
+    """Texts without passages that an earlier text has; documents with nothing left go. Rows without an id come
+    first, rows with one id in the order of their texts; null texts stay as they are."""
     return suffix_dedup.remove(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts stay, with any id or none."""
     return decontamination.clean(spark, docs, decontamination.benchmark_of(table(spark, sf_dir, "benchmark")))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 4096 tokens."""
+    """Pieces of documents and their places in sequences of 4096 tokens. A null or empty text is its end id."""
     return packing.pack(spark, docs)
 
 
