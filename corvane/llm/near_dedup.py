@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import dropped, irregular, small_batches, table, unused, written
-from corvane.llm.vec import Spans, column_bytes, mix, release, slices, word_spans
+from corvane.llm.vec import column_bytes, hash_spans, mix, release, slices, word_spans
 
 U = np.uint64
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
@@ -56,7 +56,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, row = word_spans(data, offsets)
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = Spans(data).hash(starts, ends)
+    h = hash_spans(data, starts, ends)
     n = len(h)
     first = np.searchsorted(row, row, "left")
     size = np.searchsorted(row, row, "right") - first
@@ -329,11 +329,12 @@ def grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> DataFrame
         if more.head(1):
             links = links.union(more)
             roots = components(spark, links)
-    for unneeded in held:
-        dropped(spark, unneeded)
     named = reps.select("c1", "c2", "rep").hint("merge").join(roots.hint("merge"), F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("root", "rep").alias("class_id"))
     out = base.select("doc_id", "c1", "c2").hint("merge").join(named.hint("merge"), ["c1", "c2"])
-    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    out = written(spark, out.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "found", few=True)
+    for unneeded in (*held, base, reps):
+        dropped(spark, unneeded)
+    return out
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -42,6 +42,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corvane.llm.shared import irregular, small_batches, table, unused, written
 from corvane.llm.vec import Spans, classes, column_bytes, mix, release, slices
@@ -261,13 +262,13 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = crowd[i : i + 50]
             which, step = np.repeat(p, many[p]), steps(many[p])
             at_, d, w = place[which] + step, doc[which], start[which] + step
-            low = int(at_.min())
-            part = data[low : int(at_.max()) + LENGTH]
-            h = Spans(part).hash(at_ - low, at_ - low + LENGTH)
+            whole = bodies(data, at_, np.full(len(at_), LENGTH))
+            flat, last = np.frombuffer(whole.buffers()[2], np.uint8), np.arange(1, len(at_) + 1) * LENGTH
+            h = Spans(flat).hash(last - LENGTH, last)
             n = groups[which].astype(np.uint64)
             then = mix(fp[which].view(np.uint64) ^ mix(h % n))
             first = mix(then + mix(d.astype(np.uint64)) % n)
-            yield batch(ROW, fp=first, then=then, doc=d, at=w << 8 | 1, body=bodies(data, at_, np.full(len(at_), LENGTH)))
+            yield batch(ROW, fp=first, then=then, doc=d, at=w << 8 | 1, body=whole)
 
 
 def steps(many: np.ndarray) -> np.ndarray:
@@ -468,20 +469,28 @@ def numbered(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, key
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeated passages cut from its texts. Characters of which only a part is left go too;
-    a document of which nothing is left is dropped."""
-    key, doc, left = unused(df, "key"), unused(df, "doc"), unused(df, "left")
+    a document of which nothing is left is dropped. The text isn't shuffled again for its other columns."""
+    key, place = unused(df, "key"), df.columns.index(text_col)
+    schema = StructType([StructField(f.name, StringType() if k == place else f.dataType) for k, f in enumerate(df.schema.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
-            new = [cut(t, s).decode("utf-8", "ignore") for t, s in each(b, 1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=[doc, left])
+            changed = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            some = b.select([0, 1]).filter(pa.array(changed))
+            left = [cut(t, s).decode("utf-8", "ignore") for t, s in each(some, 0, 1)]
+            text = pa.compute.replace_with_mask(b.column(0), pa.array(changed), pa.array(left, b.column(0).type))
+            stay = ~changed
+            stay[changed] = [x != "" for x in left]
+            columns = [b.column(k) for k in range(2, b.num_columns)]
+            columns.insert(place, text)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(stay))
 
     rows = numbered(df.sparkSession, df, id_col, text_col, key)
-    kept = with_ranges(rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))).where("ranges is not null")
-    changed = kept.mapInArrow(run, f"{doc} long, {left} string")
-    out = rows.join(changed, rows[key] == changed[doc], "left").where(F.col(doc).isNull() | (F.col(left) != ""))
-    text = F.when(F.col(doc).isNotNull(), F.col(left)).otherwise(F.col(text_col))
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns))
+    found = with_ranges(rows.select(rows[key].alias("doc"), rows[text_col].cast("string").alias("text")))
+    rest = rows.select(rows[key].alias("doc"), *(rows[c].alias(f"other{k}") for k, c in enumerate(df.columns) if k != place))
+    whole = found.hint("merge").join(rest.hint("merge"), "doc").select("text", "ranges", *(c for c in rest.columns if c != "doc"))
+    return whole.mapInArrow(run, schema)
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
