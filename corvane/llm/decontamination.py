@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import small_batches, table, written
-from corvane.llm.vec import Spans, column_bytes, release, slices, word_spans
+from corvane.llm.vec import column_bytes, hash_spans, release, slices, word_spans
 
 PASSAGE, RANK, COSINE = 64, 64, 0.45
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
@@ -69,7 +69,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     flat = folded(data)
     starts, ends, row = word_spans(flat, offsets)
-    return Spans(flat).hash(starts, ends), row
+    return hash_spans(flat, starts, ends), row
 
 
 class Benchmark:

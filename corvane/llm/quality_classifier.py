@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import small_batches, table
-from corvane.llm.vec import WHITE, Spans, column_bytes, mix, release, slices, word_spans
+from corvane.llm.vec import WHITE, column_bytes, hash_spans, mix, release, slices, word_spans
 
 BUCKETS, WIDTH, GRAMS, WORD_GRAMS = 1 << 17, 8, (3, 4, 5), (2, 3)
 MOST_ROWS, EPOCHS, RATE, BATCH = 4000, 6, 0.25, 32
@@ -40,9 +40,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     white = WHITE[data]
     flat = np.where(white, np.uint8(32), data)
-    spans = Spans(flat)
     starts, ends, row = word_spans(data, offsets)
-    words = spans.hash(starts, ends)
+    words = hash_spans(data, starts, ends)
     buckets, rows = [words & np.uint64(BUCKETS - 1)], [row]
     gram = words
     for n in WORD_GRAMS:  # one word longer than the last
@@ -61,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         ok = (inner == 0) & (lead_row[first] == lead_row[last])
         first, last = first[ok], last[ok]
         stop = np.append(lead[1:], len(data))[last]
-        buckets.append((spans.hash(lead[first], stop) + np.uint64(n)) & np.uint64(BUCKETS - 1))
+        buckets.append((hash_spans(flat, lead[first], stop) + np.uint64(n)) & np.uint64(BUCKETS - 1))
         rows.append(lead_row[first])
     return np.concatenate(buckets).astype(np.int64), np.concatenate(rows)
 

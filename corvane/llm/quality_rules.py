@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.shared import small_batches, table
-from corvane.llm.vec import Spans, classes, column_bytes, mix, release, row_sums, slices, word_spans
+from corvane.llm.vec import classes, column_bytes, hash_spans, mix, release, row_sums, slices, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -117,8 +117,7 @@ def measure(text: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = M
 def _measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> tuple[np.ndarray, ...]:
     rows = len(offsets) - 1
     starts, ends, doc = word_spans(data, offsets)
-    spans = Spans(data)
-    h = spans.hash(starts, ends)
+    h = hash_spans(data, starts, ends)
     bounds = np.searchsorted(doc, np.arange(rows + 1))
     inside = np.zeros(len(data) + 1, np.int8)
     inside[starts] = 1
@@ -128,12 +127,12 @@ def _measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> tuple[np
     top = np.zeros(rows, np.int64)
     np.maximum.at(top, doc, longest)
     return (
-        np.diff(bounds), chars, row_sums(SYMBOLS[data], offsets), _dup_lines(data, offsets, spans, starts),
+        np.diff(bounds), chars, row_sums(SYMBOLS[data], offsets), _dup_lines(data, offsets, starts),
         row_sums(in3, bounds), row_sums(covered, bounds), top,
     )
 
 
-def _dup_lines(data: np.ndarray, offsets: np.ndarray, spans: Spans, words: np.ndarray) -> np.ndarray:
+def _dup_lines(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
@@ -143,7 +142,7 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, spans: Spans, words: np.nd
     has = np.searchsorted(words, ends) > np.searchsorted(words, starts)
     starts, ends = starts[has], ends[has]
     row = np.searchsorted(offsets, starts, "right") - 1
-    order, first, _ = classes(row, spans.hash(starts, ends))
+    order, first, _ = classes(row, hash_spans(data, starts, ends))
     return np.bincount(row[order][~first], minlength=rows)
 
 
@@ -153,6 +152,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limit
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             m = measure(b.column(1), **limits)
             order = [x.split()[0] for x in SCHEMA.split(", ")][1:]

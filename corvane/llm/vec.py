@@ -75,6 +75,19 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """Hashes of spans with ascending starts, some megabytes of a long text at a time."""
+    if len(data) <= step:
+        return Spans(data).hash(start, end)
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(start, base + step))
+        out[i:j] = Spans(data[base : int(end[i:j].max())]).hash(start[i:j] - base, end[i:j] - base)
+        i = j
+    return out
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
