@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.lang import QueryError, parse
 from corvane.operators import cache, search, statistics
+from corvane.plans.hits import find
 from corvane.plans.indexes import Template
 from corvane.sources.corpus import Corpus, list_corpora, open_corpus
 
 TOTAL = "∑"
+LOG = logging.getLogger("corvane")
 
 
 class Engine:
@@ -31,10 +35,24 @@ class Engine:
             out.append(self.open[n])
         return out
 
-    def finder(self, query, plan: str | None) -> Callable[[Corpus], DataFrame] | None:
-        if not self.cache_dir or plan:
-            return None
-        return lambda c: cache.cached(self.spark, self.cache_dir, c, query)
+    @contextmanager
+    def finder(self, query, plan: str | None) -> Iterator[Callable[[Corpus], DataFrame]]:
+        """Hits of a corpus, from the cache of results if there is one. They are searched once for all that a
+        request does with them, and given up with it."""
+        held: list[DataFrame] = []
+
+        def hits(c: Corpus) -> DataFrame:
+            began = time.time()
+            rows = find(c, query, plan) if plan or not self.cache_dir else cache.cached(self.spark, self.cache_dir, c, query)
+            held.append(rows.select("sent", "at").persist())
+            LOG.info("planned %s in %s: %.2f s", query, c.name, time.time() - began)
+            return held[-1]
+
+        try:
+            yield hits
+        finally:
+            for rows in held:
+                rows.unpersist()
 
     def info(self) -> dict:
         from corvane import __version__
@@ -65,10 +83,15 @@ class Engine:
         corpora, query = self.corpora(names), self.parsed(text, sentence_breaks)
         hits, rows = {}, []
         if query is not None:
-            found = search.hits(corpora, query, plan, finder=self.finder(query, plan))
-            hits = search.counts(found, corpora)
             wanted = [f.strip() for f in show.split(",")] if show else None
-            rows = [r.asDict(recursive=True) for r in search.kwic(corpora, query, start, num, end, wanted, plan, found).collect()]
+            with self.finder(query, plan) as finder:
+                found = search.hits(corpora, query, plan, finder=finder)
+                hits = search.counts(found, corpora)
+                LOG.info("hits: %s", hits)
+                if LOG.isEnabledFor(logging.DEBUG):
+                    LOG.debug("first positions: %s", search.preview(found))
+                rows = [r.asDict(recursive=True) for r in search.kwic(corpora, query, start, num, end, wanted, plan, found).collect()]
+            LOG.info("page of %d rows: %.2f s in all", len(rows), time.time() - began)
         return {"time": time.time() - began, "hits": sum(hits.values()), "corpus_hits": hits, "corpus_order": list(hits), "start": start, "end": start + len(rows), "kwic": rows}
 
     def count(self, names: str | list[str], text: str, group_by: str = "word", num: int = 10, sampling: int = 100_000, sentence_breaks: bool = True, plan: str | None = None) -> dict:
@@ -78,14 +101,18 @@ class Engine:
         features = [f.strip() for f in group_by.split(",")]
         if query is None:
             return {"time": time.time() - began, "count": 0, "corpora": {}, "combined": {"rows": [], "sums": statistics.sums_row({"total": 0, "sampled": 0, "size": 0})}}
-        out = statistics.count(corpora, query, features, num, sampling, self.finder(query, plan))
 
         def rows(df: DataFrame) -> list[dict]:
             return [{"value": dict(zip(features, map(list, r["value"]), strict=True)), "absolute": r["absolute"], "relative": r["relative"]} for r in statistics.top(df, num).collect()]
 
-        each = {n: {"rows": rows(df), "sums": statistics.sums_row(out["sums"][n])} for n, df in out["corpora"].items()}
-        combined = {"rows": rows(out["combined"]), "sums": statistics.sums_row(out["combined_sums"])}
-        return {"time": time.time() - began, "count": out["combined"].count(), "corpora": each, "combined": combined}
+        with self.finder(query, plan) as finder:
+            out = statistics.count(corpora, query, features, num, sampling, finder)
+            LOG.info("sums: %s", out["sums"])
+            each = {n: {"rows": rows(df), "sums": statistics.sums_row(out["sums"][n])} for n, df in out["corpora"].items()}
+            combined = {"rows": rows(out["combined"]), "sums": statistics.sums_row(out["combined_sums"])}
+            many = out["combined"].count()
+        LOG.info("%d groups: %.2f s in all", many, time.time() - began)
+        return {"time": time.time() - began, "count": many, "corpora": each, "combined": combined}
 
 
 def kwic_text(result: dict) -> str:

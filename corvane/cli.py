@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 import time
 
@@ -11,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.api import Engine, count_text, kwic_text
+from corvane.operators import vocabulary
 from corvane.operators.cache import trim
 from corvane.plans import indexes
 from corvane.sources import readers
 from corvane.sources.corpus import Corpus, exists, hadoop, number, open_corpus, sanity, store
 
 
+LOG = logging.getLogger("corvane")
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("corvane").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
@@ -28,6 +33,7 @@ def name_of(path: str) -> str:
 
 def build_corpus(spark: SparkSession, base_dir: str, path: str, reversed_features: bool = False, sentence_feature: bool = True) -> Corpus:
     lines, features = readers.sentences(spark, path)
+    LOG.info("building %s with the features %s", name_of(path), ", ".join(features))
     return store(spark, base_dir, name_of(path), number(lines, ["part"], ["line"], features), features, reversed_features=reversed_features, sentence_feature=sentence_feature)
 
 
@@ -42,7 +48,9 @@ def build_indexes(spark: SparkSession, base_dir: str, corpus: Corpus, features:
     for t in wanted:
         old = corpus.indexes.get(str(t).replace(":", "@"))
         if force or old is None or indexes.frequency_of(old) is None:
+            began = time.time()
             indexes.build(spark, base_dir, corpus, t, min_frequency)
+            LOG.info("index %s: %.1f s", t, time.time() - began)
             built.append(str(t))
     return built
 
@@ -80,6 +88,9 @@ def parser() -> argparse.ArgumentParser:
     def command(name: str, text: str) -> argparse.ArgumentParser:
         p = sub.add_parser(name, help=text)
         p.add_argument("--base-dir", "-d", default="corpora", help="folder of corpora")
+        p.add_argument("--verbose", "-v", action="store_true", help="tell what is done, and how long it takes")
+        p.add_argument("--debug", action="store_true", help="tell more")
+        p.add_argument("--log-file", default=None, help="where to tell it, in place of standard error")
         return p
 
     def searching(p: argparse.ArgumentParser) -> None:
@@ -90,7 +101,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--no-cache", action="store_true")
         p.add_argument("--no-binary", action="store_true", help="don't use indexes")
         p.add_argument("--no-sentence-breaks", action="store_true")
-        for flag in ("--filter", "--internal-merge", "--verbose", "--debug"):
+        for flag in ("--filter", "--internal-merge"):
             p.add_argument(flag, action="store_true", help="accepted; hits are always exact")
 
     p = command("search", "keyword in context")
@@ -145,8 +156,20 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def logs(args: argparse.Namespace) -> None:
+    """Sets up the log of this run."""
+    handler = logging.FileHandler(args.log_file, encoding="utf-8") if args.log_file else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    for old in list(LOG.handlers):
+        LOG.removeHandler(old)
+        old.close()
+    LOG.addHandler(handler)
+    LOG.setLevel(logging.DEBUG if args.debug else logging.INFO if args.verbose or args.log_file else logging.WARNING)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    logs(args)
     spark = spark or session()
     show = lambda x: print(json.dumps(x, ensure_ascii=False))
     if args.command in ("search", "count"):
@@ -181,9 +204,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for t in build_indexes(spark, args.base_dir, corpus, args.features, args.templates, args.max_dist, args.min_frequency, not args.no_sentence_breaks, args.force):
                 print(f"built {t}")
         if args.sanity_check:
-            bad = sanity(corpus)
+            bad = {"tokens": sanity(corpus), "vocabularies": vocabulary.sanity(corpus)} | indexes.sanity(corpus)
             show(bad)
-            return int(any(bad.values()))
+            return int(any(n for part in bad.values() for n in part.values()))
     elif args.command == "inspect":
         corpus = open_corpus(spark, args.base_dir, args.corpus)
         df = corpus.indexes[args.index.replace(":", "@")] if args.index else corpus.tokens
@@ -194,6 +217,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             show(r)
     elif args.command == "trim-cache":
         for n in trim(spark, args.cache_dir, args.max_size):
+            LOG.info("deleted %s", n)
             if not args.quiet:
                 print(f"deleted {n}")
     elif args.command == "serve":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +22,8 @@ def cached(spark: SparkSession, folder: str, corpus: Corpus, query: Query, mode:
     path = f"{folder.rstrip('/')}/{key(corpus, query, mode)}.hits"
     if not exists(spark, f"{path}/_SUCCESS"):
         find(corpus, query, mode=mode).select("sent", "at").write.mode("overwrite").parquet(path)
-    fs, p = hadoop(spark, path)
-    fs.setTimes(p, int(time.time() * 1000), -1)  # used just now
+    fs, p = hadoop(spark, f"{path}/_used")
+    fs.create(p, True).close()  # its time is that of the last use, in any store
     return spark.read.parquet(path)
 
 
@@ -33,7 +32,12 @@ def trim(spark: SparkSession, folder: str, max_mb: float = 100) -> list[str]:
     fs, p = hadoop(spark, folder)
     if not fs.exists(p):
         return []
-    found = [(s.getModificationTime(), s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength(), s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".hits")]
+    found = []
+    for s in fs.listStatus(p):
+        if (name := s.getPath().getName()).endswith(".hits"):
+            _, used = hadoop(spark, f"{s.getPath()}/_used")
+            when = fs.getFileStatus(used).getModificationTime() if fs.exists(used) else s.getModificationTime()
+            found.append((when, name, fs.getContentSummary(s.getPath()).getLength(), s.getPath()))
     total, gone = sum(x[2] for x in found), []
     for _, name, size, path in sorted(found, key=lambda x: x[:2]):
         if total <= max_mb * 1e6:

@@ -50,15 +50,16 @@ def as_map(names: list[str]):
 
 def kwic(corpora: list[Corpus], query: Query, start: int = 0, num: int = 10, end: int | None = None, show: list[str] | None = None, plan: str | None = None, found: DataFrame | None = None) -> DataFrame:
     """A row for each hit of a page (of ``found``, if given): corpus, match (start, end, position), sentence, tokens (feature to
-    value). Only the sentences of the page are read in full: the page is a limit, so its side of the
-    join is bounded and broadcast."""
+    value). The page is a limit, so its side of the join is bounded and broadcast; tokens become maps only
+    after the join, in the sentences of the page."""
     rows = page(hits(corpora, query, plan) if found is None else found, start, num, end)
     parts = []
     for k, c in enumerate(corpora):
         names = shown_features(c, query, show)
-        tokens = F.transform(F.arrays_zip(*map(column_name, names)), as_map(names))
+        cols = list(map(column_name, names))
         mine = F.broadcast(rows.where(F.col("corpus_no") == k))
-        parts.append(c.sentences.select(F.col("sent").cast("long").alias("sent"), "sent_start", tokens.alias("tokens")).join(mine, "sent"))
+        shown = mine.join(c.sentences.select(F.col("sent").cast("long").alias("sent"), "sent_start", *cols), "sent")
+        parts.append(shown.withColumn("tokens", F.transform(F.arrays_zip(*cols), as_map(names))).drop(*cols))
     out = reduce(DataFrame.unionByName, parts)
     begin = (F.col("at") - F.col("sent_start")).cast("int")
     match = F.struct(begin.alias("start"), (begin + query.length).cast("int").alias("end"), F.col("at").alias("position"))
@@ -88,9 +89,26 @@ def in_sentences(corpus: Corpus, query: Query) -> DataFrame:
     return find(corpus, query).select("sent").distinct()
 
 
-def context(corpus: Corpus, sent: int, feature: str | None = None) -> str:
-    """One sentence as text."""
-    rows = corpus.sentences.where(F.col("sent") == sent).select(F.array_join(column_name(feature or corpus.default_feature), " ")).first()
-    if rows is None:
+def preview(found: DataFrame, num: int = 10) -> str:
+    """The first positions of a result, as text."""
+    rows = [r["at"] for r in found.select("at").orderBy("at").limit(num + 1).collect()]
+    return "{" + ", ".join(map(str, rows[:num])) + (", ...}" if len(rows) > num else "}")
+
+
+def context(corpus: Corpus, sent: int, feature: str | None = None, before: int = 0, after: int = 0, match: tuple[int, int] | None = None) -> str:
+    """A sentence as text, with sentences before and after it on lines of their own. ``match``: first position
+    and length of a match, which gets marks."""
+    column = column_name(feature or corpus.default_feature)
+    rows = corpus.sentences.where(F.col("sent").between(sent - before, sent + after)).select("sent", "sent_start", column).orderBy("sent").collect()
+    if all(r["sent"] != sent for r in rows):
         raise QueryError(f"no sentence {sent} in corpus {corpus.name!r}")
-    return rows[0]
+    out = []
+    for r in rows:
+        words = list(r[column])
+        if match and r["sent_start"] <= match[0] < r["sent_start"] + len(words):
+            first = match[0] - r["sent_start"]
+            last = min(first + match[1], len(words)) - 1
+            words[first] = "{ " + words[first]
+            words[last] += " }"
+        out.append(" ".join(words))
+    return "\n".join(out)

@@ -33,3 +33,13 @@ def info(corpora: list[Corpus]) -> DataFrame:
     """Tokens and sentences of each corpus."""
     parts = [c.sentences.agg(F.lit(c.name).alias("corpus"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_tokens"), F.count("*").alias("n_sentences")) for c in corpora]
     return reduce(DataFrame.union, parts)
+
+
+def sanity(corpus: Corpus) -> dict[str, int]:
+    """Violations by the vocabularies of a corpus: symbols that aren't 0, 1, 2, ... in the order of values, and
+    tokens that no value counts."""
+    rows = vocabulary(corpus)
+    each = rows.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("symbol", "value").alias("m"), F.max("symbol").alias("last"), F.sum("freq").alias("tokens")).collect()
+    later = rows.alias("a").join(rows.alias("b"), (F.col("a.feature") == F.col("b.feature")) & (F.col("a.symbol") + 1 == F.col("b.symbol"))).where("a.value >= b.value").count()
+    gaps = sum((r["n"] != r["last"] + 1) + (r["n"] != r["m"]) for r in each)
+    return {"wrong_symbols": int(gaps + later), "uncounted_tokens": int(sum(abs(len(corpus) - r["tokens"]) for r in each))}

@@ -46,36 +46,30 @@ def by_window(corpus: Corpus, query: Query, mode: str = "chars") -> DataFrame:
     return rows.select("sent", "at")
 
 
-def by_joins(corpus: Corpus, query: Query, mode: str = "chars", use_index: bool = True) -> DataFrame:
-    """By position: the first literal's tokens, then a semi-join for each further token of the pattern."""
+def by_joins(corpus: Corpus, query: Query, mode: str = "chars") -> DataFrame:
+    """By position: the rarest token's rows, then a semi-join for each further token of the pattern. Indexes
+    tell how often values occur; without them exact values are taken for rare and negative ones for frequent."""
     key = ["sent", "at"] if query.sentence_breaks else ["at"]
-    parts: list[tuple[int, DataFrame]] = []  # (rank, starts)
+    parts: list[tuple[int, int, DataFrame]] = []  # (kind, occurrences, starts)
     for k, t in enumerate(query.tokens):
         if t.alternatives:
             test = predicates.token(t, lambda f: F.col(column_name(f)), mode)
             rows = corpus.tokens.where(test).select("sent", (F.col("at") - k).alias("at"))
             exact = any(all(any(x.kind == "exact" and not x.negative for x in g) for g in [alt]) for alt in t.alternatives)
             worst = all(all(x.negative for x in alt) for alt in t.alternatives)
-            parts.append((0 if exact and len(t.alternatives) == 1 else 2 if worst else 1, rows))
-    if use_index:
-        for probe in indexes.probes(corpus, query):
-            # the index also narrows what the first scan has to deliver
-            parts.append((-1, probe))
-    parts.sort(key=lambda p: p[0])  # exact positive literals first, purely negative tokens last
-    if not parts:
-        parts = [(0, corpus.tokens.select("sent", "at"))]
-    out = parts[0][1]
-    for _, rows in parts[1:]:
-        use = [c for c in key if c in rows.columns and c in out.columns]
-        if "sent" not in out.columns:  # an index knows positions alone
-            out = rows.join(out, use, "left_semi")
-        else:
-            out = out.join(rows, use, "left_semi")
+            known = [indexes.occurrences(corpus, x) for x in t.literals] if corpus.indexes and len(t.alternatives) == 1 else []
+            known = [n for n in known if n is not None]
+            kind = 0 if known else 1 if exact and len(t.alternatives) == 1 else 3 if worst else 2
+            parts.append((kind, min(known, default=0), rows))
+    parts.sort(key=lambda p: p[:2])
+    out = parts[0][2] if parts else corpus.tokens.select("sent", "at")
+    for _, _, rows in parts[1:]:
+        out = out.join(rows, key, "left_semi")
     out = out.where(F.col("at").between(0, len(corpus) - query.length))
-    if query.sentence_breaks and query.length > 1 and (query.tokens[-1].alternatives == () or len([t for t in query.tokens if t.alternatives]) < 2 or "sent" not in out.columns):
+    if query.sentence_breaks and query.length > 1 and (query.tokens[-1].alternatives == () or len([t for t in query.tokens if t.alternatives]) < 2):
         # trailing wildcards: the last position must lie in the same sentence
         last = corpus.tokens.select("sent", (F.col("at") - (query.length - 1)).alias("at"))
-        out = last.join(out, ["at"] if "sent" not in out.columns else key, "left_semi")
+        out = last.join(out, key, "left_semi")
     if not query.sentence_breaks:
         # the sentence of the start, whichever token of the pattern was scanned first
         out = corpus.tokens.select("sent", "at").join(out.select("at"), "at", "left_semi")
@@ -85,10 +79,12 @@ def by_joins(corpus: Corpus, query: Query, mode: str = "chars", use_index: bool
 
 
 def find(corpus: Corpus, query: Query, plan: str | None = None, mode: str = "chars") -> DataFrame:
-    """Hits by the plan named, or the one that suits."""
+    """Hits by the plan named, or the one that suits: indexes that cover the query, else a scan."""
     corpus.check(query.features)
     if plan is None:
-        plan = "joins" if not query.sentence_breaks or indexes.selective(corpus, query) else "arrays"
+        if (rows := indexes.covering(corpus, query)) is not None:
+            return rows
+        plan = "arrays" if query.sentence_breaks else "joins"
     if plan != "joins" and not query.sentence_breaks:
         plan = "joins"
     return {"arrays": by_arrays, "window": by_window, "joins": by_joins}[plan](corpus, query, mode)

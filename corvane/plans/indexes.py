@@ -1,8 +1,9 @@
 """Index tables: templates, building, probing.
 
 A template names one or two features at offsets, the first at 0, and negative literals between them:
-``pos:0+pos:1+s:1#s``. Its table has a row for each position: the values v1 (and v2) and ``at``, range
-partitioned and sorted by key, so a probe reads the row groups whose bounds hold its key. Values are
+``pos:0+pos:1+s:1#s``. Its table has a row for each position: the values v1 (and v2), the sentence and
+``at``, range partitioned and sorted by key, so a probe reads the row groups whose bounds hold its key. A
+query is answered from indexes only if they cover all its literals: then nothing else is read. Values are
 never empty. With a minimal frequency, a pair is kept only if both its values are that frequent; the
 frequency is kept in the metadata of ``at``, so it is stored with the table. Such an index is probed only
 for two exact values that it holds: then both are frequent, and the index has all their pairs.
@@ -93,32 +94,32 @@ def templates(features: list[str], max_dist: int = 2, sentence_breaks: bool = Tr
 
 
 def postings(corpus: Corpus, template: Template, min_frequency: int = 0) -> DataFrame:
-    """v1 (, v2) and at with the minimal frequency, unsorted. Sentence guards are what keeps pairs within a sentence row."""
+    """v1 (, v2), sent and at with the minimal frequency, unsorted. Sentence guards are what keeps pairs within a sentence row."""
     corpus.check([f for f, _ in template.parts])
     first = template.parts[0][0]
     if len(template.parts) == 1:
-        return corpus.tokens.select(F.col(column_name(first)).alias("v1"), marked(0)).where("v1 != ''")
+        return corpus.tokens.select(F.col(column_name(first)).alias("v1"), "sent", marked(0)).where("v1 != ''")
     second, d = template.parts[1]
     kept = [g for g in template.guards if g.feature != SENTENCE]
     if any(g.feature == SENTENCE for g in template.guards):
         # both values lie in one sentence: its arrays give the pairs without a shuffle
         names = dict.fromkeys([first, second, *(g.feature for g in kept)])
         value = lambda f, k: F.get(F.col(column_name(f)), F.col("i") + k)
-        rows = corpus.sentences.where(F.col("n") > d).select("sent_start", *map(column_name, names), F.explode(F.sequence(F.lit(0), F.col("n") - d - 1)).alias("i"))
-        rows = rows.select(value(first, 0).alias("v1"), value(second, d).alias("v2"), (F.col("sent_start") + F.col("i")).alias("at"), *(value(g.feature, g.offset).alias(f"g{j}") for j, g in enumerate(kept)))
+        rows = corpus.sentences.where(F.col("n") > d).select("sent", "sent_start", *map(column_name, names), F.explode(F.sequence(F.lit(0), F.col("n") - d - 1)).alias("i"))
+        rows = rows.select(value(first, 0).alias("v1"), value(second, d).alias("v2"), "sent", (F.col("sent_start") + F.col("i")).alias("at"), *(value(g.feature, g.offset).alias(f"g{j}") for j, g in enumerate(kept)))
     else:
         right = corpus.tokens.select((F.col("at") - d).alias("at"), F.col(column_name(second)).alias("v2"))
-        rows = corpus.tokens.select("at", F.col(column_name(first)).alias("v1")).join(right, "at")
+        rows = corpus.tokens.select("sent", "at", F.col(column_name(first)).alias("v1")).join(right, "at")
         for j, g in enumerate(kept):
             rows = rows.join(corpus.tokens.select((F.col("at") - g.offset).alias("at"), F.col(column_name(g.feature)).alias(f"g{j}")), "at")
     for j, g in enumerate(kept):
         rows = rows.where(F.col(f"g{j}") != g.value)
-    rows = rows.select("v1", "v2", "at").where("v1 != '' and v2 != ''")
+    rows = rows.select("v1", "v2", "sent", "at").where("v1 != '' and v2 != ''")
     if min_frequency > 1:
         for name, f in (("v1", first), ("v2", second)):
             often = corpus.tokens.groupBy(F.col(column_name(f)).alias(name)).count().where(F.col("count") >= min_frequency).select(name)
-            rows = rows.join(often, name, "left_semi").select("v1", "v2", "at")
-    return rows.select("v1", "v2", marked(min_frequency))
+            rows = rows.join(often, name, "left_semi")
+    return rows.select("v1", "v2", "sent", marked(min_frequency))
 
 
 def marked(min_frequency: int) -> Column:
@@ -127,7 +128,10 @@ def marked(min_frequency: int) -> Column:
 
 
 def frequency_of(index: DataFrame) -> int | None:
-    """The minimal frequency of an index; None if it was stored without one and may lack any pair."""
+    """The minimal frequency of an index; None if it was stored without one, or without sentences, by an
+    earlier version: such an index isn't probed."""
+    if "sent" not in index.columns:
+        return None
     return index.schema["at"].metadata.get(MIN_FREQUENCY, 0 if "v2" not in index.columns else None)
 
 
@@ -135,8 +139,7 @@ def build(spark: SparkSession, path: str, corpus: Corpus, template: Template, mi
     """Writes an index beside its corpus, and adds it to the corpus."""
     keys = [c for c in ("v1", "v2") if c == "v1" or len(template.parts) == 2]
     rows = postings(corpus, template, min_frequency).repartitionByRange(*keys, "at").sortWithinPartitions(*keys, "at")
-    # names with a colon aren't names of folders in every store
-    name = str(template).replace(":", "@")
+    name = stored_name(template)  # names with a colon aren't names of folders in every store
     where = f"{path.rstrip('/')}/{corpus.name}.corpus/indexes/{name}"
     rows.write.mode("overwrite").parquet(where)
     corpus.indexes[name] = spark.read.parquet(where)
@@ -156,41 +159,90 @@ def test(x: Literal, c) -> F.Column:
 
 
 def probe(corpus: Corpus, template: Template, values: list[Literal], offset: int = 0) -> DataFrame:
-    """Starts of matches of the literals, from the index of their template, shifted by its offset."""
-    rows = corpus.indexes[str(template).replace(":", "@")]
+    """Sentences and starts of matches of the literals, from the index of their template, shifted by its offset."""
+    rows = corpus.indexes[stored_name(template)]
     for name, x in zip(("v1", "v2"), values, strict=False):
         rows = rows.where(test(x, F.col(name)))
-    return rows.select((F.col("at") - offset).alias("at")).where("at >= 0")
-
-
-def positive(query: Query) -> list[tuple[int, Literal]]:
-    """Literals that every match must have, with their offsets."""
-    return [(k, x) for k, t in enumerate(query.tokens) if len(t.alternatives) == 1 for x in t.alternatives[0] if not x.negative and x.kind in ("exact", "prefix")]
-
-
-def probes(corpus: Corpus, query: Query) -> list[DataFrame]:
-    """Index probes for a query: pairs first; single literals that a pair has not covered. An index with a
-    minimal frequency finds nothing for rare values, so what it doesn't find is left to the scan."""
-    out, covered = [], set()
-    known = {name.replace("@", ":") for name in corpus.indexes}
-    found = positive(query)
+    return rows.select("sent", (F.col("at") - offset).alias("at")).where("at >= 0")
+
+
+def stored_name(template: Template) -> str:
+    return str(template).replace(":", "@")
+
+
+def usable(corpus: Corpus, template: Template, values: list[Literal]) -> bool:
+    """Whether the index of a template is stored and has all matches of the literals. An index with a minimal
+    frequency has those of two exact values, if any; what it doesn't find is left to the scan."""
+    index = corpus.indexes.get(stored_name(template))
+    least = None if index is None else frequency_of(index)
+    if least is None:
+        return False
+    return least == 0 or all(x.kind == "exact" for x in values) and bool(probe(corpus, template, values).head(1))
+
+
+def covering(corpus: Corpus, query: Query) -> DataFrame | None:
+    """Hits from indexes alone, if they cover the query: every token has only positive exact values or
+    prefixes, the first and last are no wildcards, and pairs that hang together within the sentence have all
+    literals. None if they don't."""
+    found = query.literals
+    if not corpus.indexes or any(len(t.alternatives) > 1 for t in query.tokens):
+        return None
+    if any(x.negative or x.kind not in ("exact", "prefix") for _, x in found) or {0, query.length - 1} - {k for k, _ in found}:
+        return None
+    if len(found) == 1:
+        t = Template(((found[0][1].feature, 0),))
+        return probe(corpus, t, [found[0][1]]) if usable(corpus, t, [found[0][1]]) else None
+    parts: list[DataFrame] = []
+    covered: set = set()
+    together = {k: k for k, _ in found}  # tokens known to lie in one sentence
     for i, (k, x) in enumerate(found):
         for m, y in found[i + 1 :]:
+            new = not {(k, x), (m, y)} <= covered or together[k] != together[m]
             guards = tuple(Guard(SENTENCE, j, SENTENCE) for j in range(1, m - k + 1)) if query.sentence_breaks else ()
-            if m > k and x.kind == "exact":
-                t = Template(((x.feature, 0), (y.feature, m - k)), guards)
-                if str(t) in known:
-                    least = frequency_of(corpus.indexes[str(t).replace(":", "@")])
-                    if least == 0 or least and y.kind == "exact" and probe(corpus, t, [x, y]).head(1):
-                        out.append(probe(corpus, t, [x, y], k))
-                        covered |= {(k, x), (m, y)}
-    for k, x in found:
-        t = Template(((x.feature, 0),))
-        if (k, x) not in covered and str(t) in known:
-            out.append(probe(corpus, t, [x], k))
+            t = Template(((x.feature, 0), (y.feature, m - k)), guards) if m > k else None
+            if t and new and usable(corpus, t, [x, y]):
+                # without sentence breaks the sentence is that of the first token
+                part = probe(corpus, t, [x, y], k)
+                parts.insert(0 if k == 0 else len(parts), part)
+                covered |= {(k, x), (m, y)}
+                old, now = together[m], together[k]
+                together = {n: now if c == old else c for n, c in together.items()}
+    if len(covered) < len(set(found)) or len(set(together.values())) > 1:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p.select("at"), "at", "left_semi")
     return out
 
 
-def selective(corpus: Corpus, query: Query) -> bool:
-    """Whether an index of a pair, or of a single exact literal, narrows the query."""
-    return bool(corpus.indexes) and any(x.kind == "exact" for _, x in positive(query)) and bool(probes(corpus, query))
+def occurrences(corpus: Corpus, x: Literal) -> int | None:
+    """How often a value or prefix occurs, if a stored index tells."""
+    t = Template(((x.feature, 0),))
+    if x.negative or x.kind not in ("exact", "prefix") or not usable(corpus, t, [x]):
+        return None
+    return probe(corpus, t, [x]).count()
+
+
+def value_at(corpus: Corpus, template: Template, position: int) -> tuple[str, ...] | None:
+    """The values of a template at one position; None where its index has no row."""
+    last = position + template.max_offset
+    rows = {r["at"]: r for r in corpus.tokens.where(F.col("at").between(position, last)).collect()}
+    if len(rows) <= template.max_offset:
+        return None
+    if any(rows[position + g.offset][column_name(g.feature)] == g.value for g in template.guards):
+        return None
+    values = tuple(rows[position + k][column_name(f)] for f, k in template.parts)
+    return values if all(values) else None
+
+
+def sanity(corpus: Corpus) -> dict[str, dict[str, int]]:
+    """For each index of a corpus the rows that it lacks, and those that don't belong there."""
+    out = {}
+    for name, index in corpus.indexes.items():
+        least = frequency_of(index)
+        if least is None:
+            out[name] = {"outdated": 1}
+            continue
+        want, got = postings(corpus, Template.parse(name.replace("@", ":")), least), index.select(*index.columns)
+        out[name] = {"missing_rows": want.exceptAll(got).count(), "extra_rows": got.exceptAll(want).count()}
+    return out

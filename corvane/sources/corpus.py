@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.predicates import REVERSED, column_name, reverse
 from corvane.lang import QueryError, feature_name
-from corvane.sources.order import running_sum
+from corvane.sources.order import running_sums
 
 SENTENCE = "s"
 
@@ -68,6 +68,17 @@ def from_sentences(name: str, sentences: DataFrame, features: list[str], reverse
     return out, names
 
 
+def with_reversed(corpus: Corpus) -> Corpus:
+    """The corpus with each feature also backwards: columns of its tables, computed as they are read."""
+    plain = [f for f in corpus.features if f != SENTENCE]
+    names = [f + REVERSED for f in plain]
+    rows = corpus.sentences.withColumns({column_name(f + REVERSED): F.transform(column_name(f), reverse) for f in plain})
+    tokens = corpus.tokens.withColumns({column_name(f + REVERSED): reverse(F.col(column_name(f))) for f in plain})
+    out = Corpus(corpus.name, tokens, rows, [*plain, *names, *corpus.features[len(plain) :]], f"{corpus.fingerprint}+reversed")
+    out.size = corpus.size
+    return out
+
+
 def tokens_of(sentences: DataFrame, features: list[str]) -> DataFrame:
     """A row for each token."""
     cols = [column_name(f) for f in features]
@@ -80,8 +91,8 @@ def number(lines: DataFrame, bucket: list[str], order: list[str], features: list
     """Sentences (arrays of one length, not empty) with numbers and start positions."""
     first = column_name(features[0])
     lines = lines.withColumn("n", F.size(first)).where("n > 0")
-    lines = running_sum(lines, bucket, order, F.col("n"), "sent_start")
-    lines = running_sum(lines, bucket, order, F.lit(1), "sent0")
+    coarse = F.floor(F.col(bucket[0]) / 4096) if dict(lines.dtypes)[bucket[0]] in ("int", "bigint") else None
+    lines = running_sums(lines, bucket, order, {"sent_start": F.col("n"), "sent0": F.lit(1)}, coarse)
     return lines.select((F.col("sent0") + 1).alias("sent"), "sent_start", "n", *(column_name(f) for f in features))
 
 

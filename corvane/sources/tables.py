@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.predicates import column_name as c
-from corvane.sources.corpus import Corpus, number, store
+from corvane.sources.corpus import Corpus, number, store, with_reversed
 
 _BUILT: dict[tuple, Corpus] = {}
 WIDTH = 4096  # documents a bucket of the running sums
@@ -62,12 +62,15 @@ KINDS = {"docs": docs_lines, "chat": chat_lines, "events": event_lines, "orders"
 
 def root(spark: SparkSession) -> str:
     """Where built corpora go: the shared folder of the cluster, or one of our own on a single machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or "file://" + tempfile.mkdtemp(prefix="corvane-")
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str = "docs", reversed_features: bool = False) -> Corpus:
-    key = (spark.sparkContext.applicationId, sf_dir, name, reversed_features)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
         lines, features = KINDS[name](spark, sf_dir)
-        _BUILT[key] = store(spark, f"{root(spark)}/corpora-{uuid.uuid4().hex}", name, lines, features, reversed_features=reversed_features)
-    return _BUILT[key]
+        _BUILT[key] = store(spark, f"{root(spark)}/corpora-{uuid.uuid4().hex}", name, lines, features)
+    return with_reversed(_BUILT[key]) if reversed_features else _BUILT[key]

@@ -6,6 +6,8 @@ is run again after a failure overwrites that folder, so sentences are added once
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,7 +35,11 @@ def start(stream: DataFrame, path: str, features: list[str], checkpoint: str) ->
 
 
 def opened(spark: SparkSession, path: str, name: str, features: list[str]) -> Corpus:
-    """The corpus as ingested so far."""
-    rows = spark.read.parquet(f"{path.rstrip('/')}/sentences").drop("batch")
+    """The corpus as ingested so far; its fingerprint tells how far, so cached results of less aren't used."""
+    rows = spark.read.parquet(f"{path.rstrip('/')}/sentences")
+    n, m, mark = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.bit_xor(F.xxhash64(*sorted(rows.columns)))).first()
+    rows = rows.drop("batch")
     names = [*features, *(["s"] if column_name("s") in rows.columns else [])]
-    return Corpus(name, tokens_of(rows, names), rows, names)
+    out = Corpus(name, tokens_of(rows, names), rows, names, hashlib.sha256(repr((path, names, n, m, mark)).encode()).hexdigest()[:16])
+    out.size = (int(n), int(m))
+    return out

@@ -56,6 +56,7 @@ def test_count(spark, base, capsys):
 def test_what_is_no_pattern_finds_nothing(spark, base):
     e = Engine(spark, base)
     assert e.query("pets", "nonsense")["hits"] == 0 and e.count("pets", "nonsense")["count"] == 0
+    assert e.query("pets", '[word="(?P<x>a).b"]')["hits"] == 0  # Python's syntax, not Java's
     assert kwic_text(e.query("pets", "nonsense")) == "0 search results."
     assert "∑" in count_text(e.count("pets", "nonsense"))
 
@@ -80,6 +81,15 @@ def test_cache_and_trim(spark, base, tmp_path, capsys):
     assert capsys.readouterr().out.startswith("deleted ")
 
 
+def test_log(spark, base, tmp_path, capsys):
+    where = tmp_path / "run.log"
+    main(["search", "-d", base, "-c", "pets", "-q", '[word="cat"]', "--print", "count", "--debug", "--log-file", str(where)], spark)
+    said = where.read_text()
+    assert "hits: {'pets': 2}" in said and "first positions: {1, 6}" in said
+    main(["search", "-d", base, "-c", "pets", "-q", '[word="cat"]', "--print", "count"], spark)
+    assert capsys.readouterr().err == ""
+
+
 @pytest.fixture(scope="module")
 def get(spark, base):
     s = server(Engine(spark, base))

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -66,8 +67,8 @@ def test_templates():
 def test_postings(spark, tmp_path):
     rows = [("a", "X"), ("b", ""), ("a", "X"), None, ("a", "Y"), ("b", "X")]
     c = build_corpus(spark, f"file://{tmp_path}", tsv(tmp_path / "i.tsv", ["word", "pos"], rows))
-    pairs = lambda t, m=0: sorted(tuple(r) for r in indexes.postings(c, indexes.Template.parse(t), m).collect())
-    assert sorted(tuple(r) for r in indexes.postings(c, indexes.Template.parse("pos:0")).collect()) == [("X", 0), ("X", 2), ("X", 4), ("Y", 3)]
+    pairs = lambda t, m=0: sorted(tuple(r) for r in indexes.postings(c, indexes.Template.parse(t), m).drop("sent").collect())
+    assert pairs("pos:0") == [("X", 0), ("X", 2), ("X", 4), ("Y", 3)]
     assert pairs("word:0+word:1+s:1#s") == [("a", "b", 0), ("a", "b", 3), ("b", "a", 1)]
     assert pairs("word:0+word:1") == [("a", "a", 2), ("a", "b", 0), ("a", "b", 3), ("b", "a", 1)]
     assert pairs("word:0+pos:1+s:1#s") == [("a", "X", 3), ("b", "X", 1)]
@@ -75,6 +76,14 @@ def test_postings(spark, tmp_path):
     assert pairs("word:0+pos:1+s:1#s", 4) == []
     built = indexes.build(spark, f"file://{tmp_path}", c, indexes.Template.parse("word:0"))
     assert indexes.summary(built).where("v1 = 'a'").first()[1:] == (3, 0, 3)
+    assert {(r["sent"], r["at"]) for r in built.collect()} == {(1, 0), (1, 1), (1, 2), (2, 3), (2, 4)}
+    value = lambda t, k: indexes.value_at(c, indexes.Template.parse(t), k)
+    assert [value("word:0+word:1+s:1#s", k) for k in range(5)] == [("a", "b"), ("b", "a"), None, ("a", "b"), None]
+    assert value("word:0+word:1", 2) == ("a", "a") and value("pos:0", 1) is None
+    assert indexes.sanity(c) == {"word@0": {"missing_rows": 0, "extra_rows": 0}}
+    c.indexes["word@0"] = built.where("at > 0").union(built.where("at = 4").limit(1)).withMetadata("at", {"min_frequency": 0})
+    assert indexes.sanity(c) == {"word@0": {"missing_rows": 1, "extra_rows": 1}}
+    assert vocabulary.sanity(c) == {"wrong_symbols": 0, "uncounted_tokens": 0}
 
 
 def test_cache(spark, tmp_path):
@@ -90,6 +99,16 @@ def test_cache(spark, tmp_path):
     assert cache.trim(spark, f"{folder}/none") == []
 
 
+def test_what_was_used_last_stays(spark, tmp_path):
+    c = words(spark, tmp_path, "u", "a b a")
+    folder = f"file://{tmp_path}/used"
+    one, two = parse('[word="a"]'), parse('[word="b"]')
+    for q in (one, two, one):
+        cache.cached(spark, folder, c, q)
+        time.sleep(0.05)
+    assert cache.trim(spark, folder, 0.001)[0] == cache.key(c, two) + ".hits"
+
+
 def test_streaming_ingest(spark, tmp_path):
     source, kind = tmp_path / "in", "part long, line long, f_word array<string>"
     spark.createDataFrame([(0, 0, ["a", "b"]), (0, 1, ["c"])], kind).coalesce(1).write.parquet(f"{source}/one")
@@ -100,3 +119,16 @@ def test_streaming_ingest(spark, tmp_path):
     ingest.start(stream(), where, ["word"], f"{tmp_path}/mark").awaitTermination()
     c = ingest.opened(spark, where, "live", ["word"])
     assert [(r["at"], r["sent"], r["f_word"]) for r in c.tokens.orderBy("at").collect()] == [(0, 1, "a"), (1, 1, "b"), (2, 2, "c"), (3, 3, "d"), (4, 3, "a")]
+
+
+def test_cached_results_of_less_are_not_used(spark, tmp_path):
+    source, kind = tmp_path / "in", "part long, line long, f_word array<string>"
+    where, folder = f"file://{tmp_path}/stream", f"file://{tmp_path}/cache"
+    found = []
+    for k in range(2):
+        spark.createDataFrame([(0, k, ["a"])], kind).coalesce(1).write.parquet(f"{source}/{k}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(source))
+        ingest.start(stream, where, ["word"], f"{tmp_path}/mark").awaitTermination()
+        c = ingest.opened(spark, where, "live", ["word"])
+        found.append(sorted(r["at"] for r in cache.cached(spark, folder, c, parse('[word="a"]')).collect()))
+    assert found == [[0], [0, 1]]

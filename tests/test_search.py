@@ -120,7 +120,13 @@ def test_indexes_change_nothing(spark, folder, random_corpus):
     c, rows = random_corpus
     build_indexes(spark, f"file://{folder}", c, ["word", "pos"])
     try:
-        assert indexes.selective(c, parse('[word="ab"] [pos="X"]'))
+        assert indexes.covering(c, parse('[word="ab"] [pos="X"]')) is not None
+        assert indexes.covering(c, parse('[word="ab"] [] [pos="X"]')) is not None
+        assert indexes.covering(c, parse('[word="ab"] [pos="X"] [word="b.*"]')) is not None
+        for q in ('[word="ab"] []', '[] [word="ab"]', '[word="ab" | word="b"]', '[word="ab"] [pos!="X"]', '[word="a.b"]', '[word="ab" & pos="X"]'):
+            assert indexes.covering(c, parse(q)) is None
+        plan = indexes.covering(c, parse('[word="ab"] [pos="X"]'))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "f_word" not in plan
         for breaks in (True, False):
             for q in QUERIES:
                 assert at(c, q, sentence_breaks=breaks) == slow(rows, q, breaks) == at(c, q, "joins", sentence_breaks=breaks), (q, breaks)
@@ -146,11 +152,12 @@ def test_an_index_of_frequent_values_changes_nothing(spark, folder):
     assert at(c, '[word="a"] [word="b.*"]') == [0, 2, 4, 12]
     only = lambda t: open_corpus(spark, f"file://{folder}", "often").indexes[t]
     c.indexes = {str(pair).replace(":", "@"): only("word@0+word@1+s@1#s")}
-    assert len(indexes.probes(c, parse('[word="a"] [word="b"]'))) == 1
-    assert indexes.probes(c, parse('[word="rare"] [word="b"]')) == indexes.probes(c, parse('[word="a"] [word="b.*"]')) == []
+    covered = lambda q: indexes.covering(c, parse(q)) is not None
+    assert covered('[word="a"] [word="b"]')
+    assert not covered('[word="rare"] [word="b"]') and not covered('[word="a"] [word="b.*"]')
     # an index stored without its minimal frequency may lack any pair
-    c.indexes = {k: v.select("v1", "v2", (v["at"] + 0).alias("at")) for k, v in c.indexes.items()}
-    assert indexes.probes(c, parse('[word="a"] [word="b"]')) == [] and at(c, '[word="a"] [word="b"]') == [0, 2, 4]
+    c.indexes = {k: v.select("v1", "v2", "sent", (v["at"] + 0).alias("at")) for k, v in c.indexes.items()}
+    assert not covered('[word="a"] [word="b"]') and at(c, '[word="a"] [word="b"]') == [0, 2, 4]
 
 
 def test_pages_run_over_corpora(spark, folder):
@@ -174,6 +181,10 @@ def test_kwic_rows(spark, folder):
     (r,) = search.kwic([c], parse('[word="is"]'), show=["pos"]).collect()
     assert r["tokens"] == [{"word": "This", "pos": "PRON"}, {"word": "is", "pos": "AUX"}]
     assert search.context(c, 2) == "A test ."
+    assert search.context(c, 2, before=1, match=(2, 2)) == "This is\n{ A test } ."
+    assert search.context(c, 1, "pos", after=5, match=(1, 1)) == "PRON { AUX }\nDET NOUN PUNCT"
+    found = search.hits([c], parse('[word=".*"]'))
+    assert search.preview(found, 3) == "{0, 1, 2, ...}" and search.preview(found, 5) == "{0, 1, 2, 3, 4}"
     with pytest.raises(QueryError):
         search.kwic([c], parse('[word="is"]'), show=["lemma"])
     with pytest.raises(QueryError):

@@ -11,16 +11,16 @@ from corvane.sources import corpus as corpora
 from corvane.sources import readers
 
 CONLLU = """# sent_id = 1
-# text = They buy and sell books.
-1\tThey\tthey\tPRON\tPRP\tCase=Nom\t2\tnsubj\t2:nsubj\t_
-2\tbuy\tbuy\tVERB\tVBP\t_\t0\troot\t0:root\t_
-3\tbooks\tbook\tNOUN\tNNS\t_\t2\tobj\t2:obj\tSpaceAfter=No
+# text = Owls hunt mice.
+1\tOwls\towl\tNOUN\tNNS\tNumber=Plur\t2\tnsubj\t2:nsubj\t_
+2\thunt\thunt\tVERB\tVBP\t_\t0\troot\t0:root\t_
+3\tmice\tmouse\tNOUN\tNNS\t_\t2\tobj\t2:obj\tSpaceAfter=No
 4\t.\t.\tPUNCT\t.\t_\t2\tpunct\t2:punct\t_
 
 # sent_id = 2
-1-2\tvámonos\t_\t_\t_\t_\t_\t_\t_\t_
-1\tvamos\tir\tVERB\t_\t_\t0\troot\t_\t_
-2\tnos\tnosotros\tPRON\t_\t_\t1\tobj\t_\t_
+1-2\tdilo\t_\t_\t_\t_\t_\t_\t_\t_
+1\tdi\tdecir\tVERB\t_\t_\t0\troot\t_\t_
+2\tlo\tél\tPRON\t_\t_\t1\tobj\t_\t_
 2.1\tghost\tghost\tX\t_\t_\t_\t_\t_\t_
 
 """
@@ -63,8 +63,8 @@ def test_conllu(spark, tmp_path):
     (tmp_path / "c.conllu").write_text(CONLLU)
     c = build_corpus(spark, f"file://{tmp_path}", f"file://{tmp_path}/c.conllu", reversed_features=True)
     assert c.features[:10] == "id form lemma upos xpos feats head deprel deps misc".split()
-    assert [r[1:4] for r in rows_of(c, "form")] == [(1, 0, "They"), (1, 1, "buy"), (1, 2, "books"), (1, 3, "."), (2, 0, "vamos"), (2, 1, "nos")]
-    assert rows_of(c, "form_reversed", "misc")[2][3:] == ("skoob", "SpaceAfter=No")
+    assert [r[1:4] for r in rows_of(c, "form")] == [(1, 0, "Owls"), (1, 1, "hunt"), (1, 2, "mice"), (1, 3, "."), (2, 0, "di"), (2, 1, "lo")]
+    assert rows_of(c, "form_reversed", "misc")[2][3:] == ("ecim", "SpaceAfter=No")
 
 
 def test_conllu_doubled(spark, tmp_path):
