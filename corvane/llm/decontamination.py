@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import small_batches, table, written
 from corvane.llm.vec import column_bytes, hash_spans, release, slices, word_spans
 
-PASSAGE, RANK, COSINE = 64, 64, 0.45
+PASSAGE, RANK, COSINE = 64, 64, 0.4
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 MOST_BYTES, MOST_TERMS, GROUP = 8 << 20, 200_000, 1 << 14
 ENCODED = "doc_id long, terms binary"
