@@ -13,16 +13,20 @@ anywhere, so suffixes are first dealt into groups such that equal 100-byte strin
 2. Anchors with one run are done: nothing else can be equal to its windows. Of the others, runs that are
    equal as a whole to an earlier one are dropped too, by a cryptographic digest of their bytes
    (BLAKE2b, 96 bits, within an anchor), and anchors that then have one run left are done.
-3. Runs of the rest, where texts begin to differ, fetch their bytes and meet by anchor. An anchor with
-   more than ``GROUP`` runs is dealt to several groups, by the content of each window, and in two rounds: first with a part of the
-   documents each, then the windows without an earlier match there. So a group has about ``GROUP`` rows
-   of one string, or of all, however often a passage or a line comes.
-4. A group, or several at once, gets its suffix array (prefix doubling by 8, 16, 32 and 64 bytes, to 100;
+3. An anchor with more than ``GROUP`` runs, such as one in a common line, is mostly surrounded by other text
+   each time. Its runs are cut into parts of ``SHARE`` (9) windows by the place of the anchor in them; equal
+   windows have equal ones. The windows of a part share ``CORE`` (92) bytes, whose hash takes the anchor's
+   place in step 2 for them. Most cores come once, and only numbers were shuffled for those.
+4. Runs and parts of the rest, where texts begin to differ, fetch their bytes and meet by anchor or core. If
+   more than ``GROUP`` have a core, they are dealt to several groups, by the content of each window, and in two
+   rounds: first with a part of the documents each, then the windows without an earlier match there. So a group
+   has about ``GROUP`` rows of one string, or of all, however often a passage or a line comes.
+5. A group, or several at once, gets its suffix array (prefix doubling by 8, 16, 32 and 64 bytes, to 100;
    ties by position), for each window the previous and next smaller position in suffix order, the
    longest common prefixes with both, and from these its LPF. Windows with an LPF of 100 go.
 
 Other hashes only decide who meets. The text is shuffled once, by id; the joins and
-step 1 read that exchange. Tasks read their groups in order, and hold those that they work on.
+step 1 read that exchange. Ranges that steps 1 and 2 remove wait by id for those of step 5. Tasks read their groups in order, and hold those that they work on.
 
 Defined results. Null or empty text: nothing removed. Each row is a document: rows with equal ids count
 in the order of their texts, so of repeated rows the first is left whole; rows without an id come first.
@@ -50,6 +54,8 @@ from corvane.llm.vec import Spans, classes, column_bytes, mix, release, slices
 LENGTH, GRAM, GROUP = 100, 32, 2000
 WINDOW = LENGTH - GRAM + 1
 WIDEST = WINDOW + LENGTH - 1  # bytes of a run
+SHARE = 9  # windows of a part
+CORE = LENGTH - SHARE + 1
 PIECE, SLAB, PART = 1 << 18, 1 << 19, 8 << 20  # bytes worked on at once: a text, runs of groups, texts of one task
 U = np.uint64
 # at: first window << 8 | windows. A row with an end is a removed range of windows.
@@ -187,15 +193,19 @@ def _found(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[p
     first = np.flatnonzero(~later)
     if len(first):
         place, raw = offsets[row[first]] + start[first], data.tobytes()
-        size = many[first] + LENGTH - 1
-        digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=12).digest() for x, y in zip(place.tolist(), (place + size).tolist(), strict=True))
-        d = np.frombuffer(digests, np.dtype([("d1", "<i8"), ("d2", "<i4")]))
+        d = digests(raw, place, many[first] + LENGTH - 1)
         yield batch(RUN, fp=fp[first], d1=d["d1"], d2=d["d2"], doc=doc[first], at=(start << 8 | many)[first])
     if later.any():
         d, s, e = removed_rows(doc[later], start[later], many[later])
         yield batch(RUN, fp=mix(d.astype(np.uint64)), doc=d, at=s << 8, end=e)
 
 
+def digests(raw: bytes, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two numbers for the bytes of each span."""
+    out = b"".join(hashlib.blake2b(raw[x:y], digest_size=12).digest() for x, y in zip(place.tolist(), (place + size).tolist(), strict=True))
+    return np.frombuffer(out, np.dtype([("d1", "<i8"), ("d2", "<i4")]))
+
+
 def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2 over rows in the order of anchor, digest and position, with the number of rows of the anchor. Rows
     out: removed ranges, and the runs of anchors that have different ones. One row is held between batches."""
@@ -205,7 +215,7 @@ def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = b.column("end").is_valid().to_numpy(zero_copy_only=False)
         if gone.any():
             some = b.filter(pa.array(gone))
-            yield batch(EDGE, **{c: some.column(c) for c in ("fp", "doc", "at", "end")})
+            yield batch(EDGE, **{c: some.column(c) for c in ("doc", "at", "end")})
             b = b.filter(pa.array(~gone))
         if not b.num_rows:
             continue
@@ -216,7 +226,7 @@ def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = fp[-1], d1[-1], d2[-1]
         if same.any():
             d, s, e = removed_rows(doc[same], at[same] >> 8, at[same] & 0xFF)
-            yield batch(EDGE, fp=mix(d.astype(np.uint64)), doc=d, at=s << 8, end=e)
+            yield batch(EDGE, doc=d, at=s << 8, end=e)
         rows = np.stack([fp, doc, at, -(-n // GROUP)])[:, ~same]
         if held is not None:
             rows = np.concatenate([held, rows], axis=1)
@@ -234,30 +244,64 @@ def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(EDGE, fp=fp, doc=doc, at=at, groups=groups)
 
 
+def listed(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Bytes of the documents (doc, text, rows) of a batch; and of each of their rows anchor, document, first
+    window, number of windows, place in the bytes and groups."""
+    data, offsets = column_bytes(b.column(1))
+    ids = b.column(0).to_numpy(zero_copy_only=False)
+    lists = b.column(2)
+    flat = lists.flatten()
+    fp, at, groups = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("fp", "at", "groups"))
+    row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    return data, fp, ids[row], at >> 8, at & 0xFF, offsets[row] + (at >> 8), groups
+
+
+def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3: documents with their runs of anchors with several groups. Rows out: their parts."""
+    release()
+    for b in batches:
+        data, fp, doc, start, many, place, _ = listed(b)
+        raw = data.tobytes()
+        for i in range(0, len(fp), 4000):
+            x = slice(i, i + 4000)
+            key, which, first, size = parts(data, fp[x], many[x], place[x])
+            d = digests(raw, place[x][which] + first, size + LENGTH - 1)
+            yield batch(RUN, fp=key, d1=d["d1"], d2=d["d2"], doc=doc[x][which], at=(start[x][which] + first) << 8 | size)
+
+
+def parts(data: np.ndarray, fp: np.ndarray, many: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash of anchor, place and core, run, first window within it and number of windows of each part of runs."""
+    size = many + LENGTH - 1
+    body = np.frombuffer(bodies(data, place, size).buffers()[2], np.uint8)
+    begin = np.cumsum(size) - size
+    spans = Spans(body)
+    n = len(body) - GRAM + 1
+    grams = mix((spans.sums[GRAM:] - spans.sums[:-GRAM]) * spans.down[:n])
+    run = np.repeat(np.arange(len(fp)), size)[:n]
+    hit = np.flatnonzero(grams == fp.view(np.uint64)[run])
+    anchor = hit[np.searchsorted(run[hit], np.arange(len(fp)))]  # the first in its run, as in all of the run's windows
+    which, step = np.repeat(np.arange(len(fp)), many), steps(many)
+    before = (anchor - begin)[which] - step  # bytes of the window before its anchor
+    new = np.ones(len(which), bool)
+    new[1:] = (which[1:] != which[:-1]) | (before[1:] // SHARE != before[:-1] // SHARE)
+    at = np.flatnonzero(new)
+    which, share = which[at], before[at] // SHARE
+    core = anchor[which] - share * SHARE
+    key = mix(fp.view(np.uint64)[which] ^ mix(spans.hash(core, core + CORE) + share.astype(np.uint64)))
+    return key, which, step[at], np.diff(np.append(at, len(new)))
+
+
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: documents with their rows of step 2. Rows out: removed ranges, runs with their bytes, and
-    the windows of anchors with several groups, with the group of the second round."""
+    """Step 4: documents with their runs and parts. Rows out: these with their bytes, and the windows of those
+    with several groups, with the group of the second round."""
     release()
     for b in batches:
-        data, offsets = column_bytes(b.column(1))
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        lists = b.column(2)
-        bounds = lists.offsets.to_numpy()
-        flat = lists.flatten()
-        fp, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("fp", "at"))
-        groups = flat.field("groups").fill_null(0).to_numpy(zero_copy_only=False)
-        end = flat.field("end").fill_null(-1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        doc, start, many = ids[row], at >> 8, at & 0xFF
-        gone = end >= 0
-        if gone.any():
-            yield batch(ROW, fp=mix(doc[gone].astype(np.uint64)), doc=doc[gone], at=at[gone], end=end[gone])
-        place = offsets[row] + start
-        plain = np.flatnonzero(~gone & (groups == 1))
+        data, fp, doc, start, many, place, groups = listed(b)
+        plain = np.flatnonzero(groups == 1)
         for i in range(0, len(plain), 2000):
             p = plain[i : i + 2000]
-            yield batch(ROW, fp=fp[p], doc=doc[p], at=at[p], body=bodies(data, place[p], many[p] + LENGTH - 1))
-        crowd = np.flatnonzero(~gone & (groups > 1))
+            yield batch(ROW, fp=fp[p], doc=doc[p], at=start[p] << 8 | many[p], body=bodies(data, place[p], many[p] + LENGTH - 1))
+        crowd = np.flatnonzero(groups > 1)
         for i in range(0, len(crowd), 50):
             p = crowd[i : i + 50]
             which, step = np.repeat(p, many[p]), steps(many[p])
@@ -337,7 +381,7 @@ def lpf_array(text: np.ndarray, windows: np.ndarray, position: np.ndarray) -> np
 
 
 def by_suffix(last: bool):
-    """Step 4 over rows in the order of their groups. Rows out: removed ranges, and if this isn't the last
+    """Step 5 over rows in the order of their groups. Rows out: removed ranges, and if this isn't the last
     round windows that come to a second one."""
 
     def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -439,12 +483,27 @@ def with_ranges(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc is not null").repartition("doc")  # as joins see it, so that all read one exchange
     found = docs.mapInArrow(find_runs, RUN).repartition("fp").sortWithinPartitions("fp", "d1", "d2", "doc", "at")
     found = found.withColumn("n", F.count("*").over(W.partitionBy("fp"))).where("n > 1 or end is not null")
-    edges = found.mapInArrow(by_anchor, EDGE)
+    # by document before they are gathered: lists for each task of step 2 would grow with the number of tasks
+    edges = found.mapInArrow(by_anchor, EDGE).repartition("doc")
     lists = edges.groupBy("doc").agg(F.collect_list(F.struct("fp", "at", "end", "groups")).alias("rows"))
-    rows = docs.hint("merge").join(lists.hint("merge"), "doc").select("doc", "text", "rows").mapInArrow(fetch, ROW)
+    # all take whole lists, so that they read one exchange
+    some = lambda f: F.filter("rows", f)
+    crowd = lists.select("doc", some(lambda r: r["groups"] > 1).alias("rows")).where(F.size("rows") > 0)
+    cores = docs.hint("merge").join(crowd.hint("merge"), "doc").select("doc", "text", "rows").mapInArrow(cut_runs, RUN)
+    cores = cores.repartition("fp").sortWithinPartitions("fp", "d1", "d2", "doc", "at")
+    cores = cores.withColumn("n", F.count("*").over(W.partitionBy("fp"))).where("n > 1")
+    cores = cores.withColumn("n", F.dense_rank().over(W.partitionBy("fp").orderBy("d1", "d2"))).withColumn("n", F.max("n").over(W.partitionBy("fp")).cast("long"))
+    cores = cores.mapInArrow(by_anchor, EDGE).repartition("doc").groupBy("doc").agg(F.collect_list(F.struct("fp", "at", "end", "groups")).alias("parts"))
+    whole = F.concat(some(lambda r: r["groups"].isNull() | (r["groups"] == 1)), F.coalesce("parts", F.array()))
+    lists = lists.hint("merge").join(cores.hint("merge"), "doc", "left").select("doc", whole.alias("rows"))
+    left = lists.select("doc", some(lambda r: r["end"].isNull()).alias("rows")).where(F.size("rows") > 0)
+    rows = docs.hint("merge").join(left.hint("merge"), "doc").select("doc", "text", "rows").mapInArrow(fetch, ROW)
     for last, kind in ((False, ROW), (True, RANGE)):
         rows = rows.repartition("fp").sortWithinPartitions("fp").mapInArrow(by_suffix(last), kind)
-    out = rows.groupBy("doc").agg(F.collect_list(F.struct("at", "end")).alias("ranges"))
+    late = rows.repartition("doc").groupBy("doc").agg(F.collect_list(F.struct("at", "end")).alias("late"))
+    early = F.transform(some(lambda r: r["end"].isNotNull()), lambda r: F.struct(F.shiftright(r["at"], 8).alias("at"), r["end"].alias("end")))
+    out = lists.hint("merge").join(late.hint("merge"), "doc", "left").select("doc", F.concat(early, F.coalesce("late", F.array())).alias("ranges"))
+    out = out.where(F.size("ranges") > 0)
     return docs.hint("merge").join(out.hint("merge"), "doc", "left").select("doc", "text", "ranges")
 
 

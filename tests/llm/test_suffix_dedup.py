@@ -47,6 +47,39 @@ def test_anchors_in_several_groups(spark, monkeypatch):
     assert as_rows(sd.spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == passages(docs)
 
 
+def test_common_lines_amid_other_text(spark, monkeypatch):
+    """Anchors with more than GROUP runs: only parts whose core comes again meet with their bytes."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 9)))
+    lines = [("".join(rng.choices("ijklmnop ", k=n))) for n in (60, 95, 99, 140)]
+    docs = []
+    for i in range(2600):
+        before, after = (" ".join(word() for _ in range(14)) for _ in range(2))
+        # at times texts go on alike beside the line
+        before, after = (before[:-30] + "x" * 30 if i % 5 == 0 else before), ("y" * 45 + after if i % 7 == 0 else after)
+        docs.append((i, f"{before}\n{lines[i % 400 if i % 400 in (1, 2, 3) else 0]}\n{after}"))
+    for i in range(2600):
+        docs.append((2600 + i, f"{word()} {word()} {word()}{lines[1 if i < 2300 else 2 + i % 2]}{word()} {word()}"))
+    seen, real = spark.sparkContext.accumulator(0), sd.by_suffix
+
+    def counted(last):
+        inner = real(last)
+
+        def run(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            yield from inner(each())
+
+        return run
+
+    monkeypatch.setattr(sd, "by_suffix", counted)
+    assert as_rows(sd.spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))) == passages(docs)
+    assert 0 < seen.value < 60_000
+
+
 def test_lpf_array_agrees_with_brute_force():
     rng = random.Random(3)
     for letters in ("a", "ab", "abc", "abcdefgh"):
