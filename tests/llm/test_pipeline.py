@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -5,6 +6,8 @@ import pytest
 from brute import classes, passages, quality
 from test_tokens import check_packed
 
+from corvane.llm import suffix_dedup as sd
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as cp  # noqa: E402
 
@@ -63,3 +66,30 @@ def test_sequences_hold_all_that_is_left(steps):
 def test_run_is_the_stages_in_a_row(spark, steps, tiny):
     key = lambda rows: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows)
     assert key(cp.run(spark, tiny).collect()) == key(steps["packing"])
+
+
+def test_common_line_does_not_send_every_window(spark, tiny, monkeypatch):
+    """The stage suffix_dedup over more texts with one line than a group holds; what is around it differs."""
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(14))
+    line = "".join(rng.choices("ijklmnop ", k=60))
+    docs = [(i, f"{prose()}\n{line}\n{prose()}") for i in range(6000)]
+    seen, real = spark.sparkContext.accumulator(0), sd.by_suffix
+
+    def counted(last):
+        inner = real(last)
+
+        def run(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            yield from inner(each())
+
+        return run
+
+    monkeypatch.setattr(sd, "by_suffix", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, cp.passages(spark, df, tiny).collect())) == docs
+    assert seen.value < 12_000
