@@ -57,9 +57,10 @@ FOLD[65:91] = np.arange(97, 123)
 
 def folded(data: np.ndarray) -> np.ndarray:
     """Lower case and spaces for punctuation, byte by byte; also the capitals of Latin-1."""
-    out = FOLD[data]
-    after = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    out[after] += 0x20
+    out = np.frombuffer(bytearray(data).translate(FOLD.tobytes()), np.uint8)
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    then = data[after]
+    out[after[(then >= 0x80) & (then <= 0x9E) & (then != 0x97)]] += 0x20
     return out
 
 
@@ -78,8 +79,11 @@ class Benchmark:
     def __init__(self, ids: list, texts: list[str | None], answers: list[str | None] | None = None):
         words = [word_hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for t in texts]
         self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[self.vocabulary & np.uint64((1 << 20) - 1)] = True
+        # the term of a hash by its last bits; -1 where several terms have them
+        self.mask = np.uint64((1 << min(20, max(16, len(self.vocabulary).bit_length() + 4))) - 1)
+        self.spot = np.zeros(int(self.mask) + 1, np.int32)
+        last = (self.vocabulary & self.mask).astype(np.int64)
+        self.spot[last] = np.where(np.bincount(last, minlength=1)[last] > 1, -1, np.arange(1, len(last) + 1))
         self.items = []
         for i, w in enumerate(words):
             if len(w):
@@ -91,10 +95,13 @@ class Benchmark:
 
     def terms(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int32)
-        maybe = np.flatnonzero(self.filter[h & np.uint64((1 << 20) - 1)])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), max(len(self.vocabulary) - 1, 0))
-        ok = self.vocabulary[at] == h[maybe]
-        out[maybe[ok]] = at[ok] + 1
+        term = self.spot[h & self.mask]
+        maybe = np.flatnonzero(term)
+        term, h = term[maybe], h[maybe]
+        several = np.flatnonzero(term < 0)
+        term[several] = np.minimum(np.searchsorted(self.vocabulary, h[several]) + 1, len(self.vocabulary))
+        ok = self.vocabulary[term - 1] == h
+        out[maybe[ok]] = term[ok]
         return out
 
     def rows(self, text: pa.Array) -> list[np.ndarray]:
@@ -128,7 +135,7 @@ def sums(rows: np.ndarray, which: np.ndarray, begin: np.ndarray, most: int = 204
     i = 0
     while i < len(begin):
         j = max(i + 1, int(np.searchsorted(ends, begin[i] + most, "right")))
-        out[i:j] = np.add.reduceat(rows[which[begin[i] : ends[j - 1]]], begin[i:j] - begin[i], axis=0)
+        out[i:j] = np.add.reduceat(rows.take(which[begin[i] : ends[j - 1]], axis=0), begin[i:j] - begin[i], axis=0)
         i = j
     return out
 
@@ -154,6 +161,20 @@ def grouped(texts: Iterator[np.ndarray], most: int = 1 << 17) -> Iterator[list[n
         yield group
 
 
+def step_sums(rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` over the columns of ``which``: whole rows are copied and added, which is what numpy does fast."""
+    out = rows.take(which[:, 0], axis=0)
+    for k in range(1, which.shape[1]):
+        out += rows.take(which[:, k], axis=0)
+    return out
+
+
+def popcount(flags: np.ndarray) -> np.ndarray:
+    """How many are true in each row; their number is a power of two, 8 at least."""
+    bits = np.packbits(flags, axis=1)
+    return np.bitwise_count(bits.view(f"u{min(8, bits.shape[1])}")).sum(axis=1, dtype=np.int64)
+
+
 class Retrieval:
     """Term vectors of the latent space, and the items in it by window length."""
 
@@ -181,52 +202,63 @@ class Retrieval:
         out.reshape(-1)[self.keys] = self.times
         return out
 
+    @cached_property
+    def has(self) -> np.ndarray | None:
+        """Whether each item has each term, item after item: a small part of ``table``, which caches hold."""
+        return None if self.table is None else (self.table > 0).reshape(-1)
+
     def often(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
         """How often items have terms."""
         if self.table is not None:
-            return self.table[item, term]
+            return self.table.reshape(-1).take(item * self.bench.size + term)
         key = item * self.bench.size + term
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (term > 0), self.times[at], 0)
 
     def enough(self, item: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Whether windows share enough words with items for the LCS: counts first, then with multiplicity."""
-        out = np.count_nonzero(self.often(item[:, None], near), axis=1) >= self.least[item]
+        if self.has is None:
+            own = self.often(item[:, None], near) > 0
+        else:
+            own = self.has.take(near + (item * self.bench.size)[:, None])
+        out = popcount(own) >= self.least[item]
         spot = np.flatnonzero(out)
-        words = np.sort(near[spot], axis=1)
-        place = np.arange(words.shape[1])
+        words = np.sort(near[spot].astype(np.int32), axis=1)
+        place = np.arange(words.shape[1], dtype=np.int32)
         new = np.ones(words.shape, bool)
         new[:, 1:] = words[:, 1:] != words[:, :-1]
         nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
-        out[spot] = np.count_nonzero(nth < self.often(item[spot, None], words), axis=1) >= self.least[item[spot]]
+        out[spot] = popcount(nth < self.often(item[spot, None], words)) >= self.least[item[spot]]
         return out
 
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """Texts, items, first words and length of windows with a high cosine and enough words of the item."""
         longest, step = max(self.lengths), min(self.lengths) // 4
-        # texts end in words outside the vocabulary, up to a multiple of the longest step
-        size = np.array([max(longest, -(-len(t) // (longest // 4)) * (longest // 4)) for t in texts])
-        edge = np.concatenate([[0], np.cumsum(size)])
+        # between texts stand words outside the vocabulary, in multiples of the longest step: a window with half
+        # its length to both sides is a run of ``whole`` that has words of one text only
+        many_words = np.array([len(t) for t in texts])
+        size = -(-np.maximum(many_words + longest // 4 * 3, longest // 2 * 3) // (longest // 4)) * (longest // 4)
+        edge = longest // 2 + np.concatenate([[0], np.cumsum(size)])
         whole = np.zeros(edge[-1], np.int64)
         for t, e in zip(texts, edge.tolist(), strict=False):
             whole[e : e + len(t)] = t
         # sums over steps; those of longer steps come from shorter ones, and a window is four of them
-        parts = np.concatenate([self.vectors[whole[i : i + 2048]].reshape(-1, step, self.vectors.shape[1]).sum(axis=1) for i in range(0, len(whole), 2048)])
+        parts = np.concatenate([step_sums(self.vectors, whole[i : i + 2048].reshape(-1, step)) for i in range(0, len(whole), 2048)])
         for length, (which, items) in sorted(self.lengths.items()):
             while step < length // 4:
-                parts, step = parts[::2] + parts[1::2], 2 * step
-            many = np.maximum(-(-(np.array([len(t) for t in texts]) - length) // step), 0) + 1  # the last window reaches the end
+                parts, step = parts[: len(parts) // 2 * 2 : 2] + parts[1::2], 2 * step
+            many = np.maximum(-(-(many_words - length) // step), 0) + 1  # the last window reaches the end
             text = np.repeat(np.arange(len(texts)), many)
             starts = edge[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
             v = (parts[:-3] + parts[1:-2] + parts[2:-1] + parts[3:])[starts // step]
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            near = np.lib.stride_tricks.sliding_window_view(whole, 2 * length)
+            few = max(1, (1 << 17) // (2 * length))
             for k in range(0, len(items), 4096):
                 w, i = np.nonzero(v @ items[k : k + 4096].T >= COSINE)
-                for x in range(0, len(w), 1 << 13):
-                    win, item = w[x : x + (1 << 13)], which[k + i[x : x + (1 << 13)]]
-                    at = (starts[win] - length // 2)[:, None] + np.arange(2 * length)
-                    inside = (at >= edge[text[win]][:, None]) & (at < edge[text[win] + 1][:, None])
-                    ok = self.enough(item, np.where(inside, whole[np.clip(at, 0, len(whole) - 1)], 0))
+                for x in range(0, len(w), few):
+                    win, item = w[x : x + few], which[k + i[x : x + few]]
+                    ok = self.enough(item, near[starts[win] - length // 2])
                     yield text[win][ok], item[ok], (starts[win] - edge[text[win]])[ok], length
 
     def search(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, int, int]]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -132,3 +133,32 @@ def test_empty_benchmark_and_items(spark):
     bench = [dc.Benchmark([1, 2], [None, "some text here to find"])]
     assert dc.matches(spark, df.where("false"), bench).count() == 0
     assert dc.clean(spark, df, bench).count() == 3
+
+
+def test_candidates_of_long_items_are_checked_in_small_parts():
+    """Thousands of windows near an item of 1000 words: what is held at once doesn't grow with its length."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(150)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    bench = dc.Benchmark([1, 2], [prose(1000), prose(12)])
+    find = dc.Retrieval(bench, np.random.default_rng(5).standard_normal((bench.size, 8)) + 1)
+    texts = [bench.terms(dc.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for t in [prose(16_000)] * 40]
+    list(find.candidates(texts[:1]))
+    tracemalloc.start()
+    try:
+        seen = sum(int(np.count_nonzero(item == 0)) for _, item, *_ in find.candidates(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert seen >= 40 * 58  # about all windows have enough of its words
+    assert peak < 60 << 20
+
+
+def test_windows_hold_words_of_their_own_text_only():
+    """Halves of an item at the end of one text and at the beginning of the next are no match; short texts are."""
+    words = [f"q{i}" for i in range(40)]
+    bench = dc.Benchmark([1, 2], [" ".join(words), " ".join(f"z{i}" for i in range(9))])
+    find = dc.Retrieval(bench, np.eye(bench.size) * (np.arange(bench.size) > 0))
+    term = lambda ws: bench.terms(dc.word_hashes(np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws))]))[0])
+    texts = [term(["x"] * 50 + words[:20]), term(words[20:] + ["x"] * 50), term(words[10:]), term(["z3"]), term(words)]
+    assert [(n, k) for n, k, *_ in find.search(texts)] == [(2, 1), (4, 1)]
