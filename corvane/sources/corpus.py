@@ -1,15 +1,16 @@
 """Corpora: a token table, and the same tokens as a row of arrays for each sentence.
 
-``tokens``: at (position from 0), sent (sentence from 1), sent_start, i (place in the sentence), and a
-column ``f_<feature>`` for each feature. ``sentences``: sent, sent_start, n, and an array for each
-feature, so a query reads only the features that it names and never shuffles. Both are sorted by
-position: row groups can be skipped, and a sentence is never split.
+``sentences``: sent, sent_start, n, and an array for each feature, so a query reads only the features that
+it names and never shuffles. It is sorted by position: row groups can be skipped, and a sentence is never
+split. ``tokens``: at (position from 0), sent (sentence from 1), sent_start, i (place in the sentence), and a
+column ``f_<feature>`` for each feature; these rows are taken from the arrays as they are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.predicates import REVERSED, column_name, reverse
 from corvane.lang import QueryError, feature_name
-from corvane.sources.order import running_sums
+from corvane.sources.order import few, running_sums
 
 SENTENCE = "s"
 
@@ -80,29 +81,30 @@ def with_reversed(corpus: Corpus) -> Corpus:
 
 
 def tokens_of(sentences: DataFrame, features: list[str]) -> DataFrame:
-    """A row for each token."""
+    """A row for each token. Features that nobody asks for are not read."""
     cols = [column_name(f) for f in features]
-    zipped = F.arrays_zip(*cols)
-    out = sentences.select("sent", "sent_start", F.posexplode(zipped).alias("i", "t"))
-    return out.select((F.col("sent_start") + F.col("i")).alias("at"), "sent", "sent_start", "i", *(F.col("t")[c].alias(c) for c in cols))
+    out = sentences.where("n > 0").select("sent", "sent_start", *cols, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return out.select((F.col("sent_start") + F.col("i")).alias("at"), "sent", "sent_start", "i", *(F.get(F.col(c), F.col("i")).alias(c) for c in cols))
 
 
-def number(lines: DataFrame, bucket: list[str], order: list[str], features: list[str]) -> DataFrame:
-    """Sentences (arrays of one length, not empty) with numbers and start positions."""
-    first = column_name(features[0])
-    lines = lines.withColumn("n", F.size(first)).where("n > 0")
-    coarse = F.floor(F.col(bucket[0]) / 4096) if dict(lines.dtypes)[bucket[0]] in ("int", "bigint") else None
-    lines = running_sums(lines, bucket, order, {"sent_start": F.col("n"), "sent0": F.lit(1)}, coarse)
-    return lines.select((F.col("sent0") + 1).alias("sent"), "sent_start", "n", *(column_name(f) for f in features))
+def number(rows: DataFrame, bucket: list[str], order: list[str], features: list[str], lines: Callable[[DataFrame], DataFrame] | None = None, arrays: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Sentences (arrays of one length, not empty) with numbers and start positions, dealt by ranges of buckets
+    and in order. Only ``rows`` are shuffled, once: ``lines`` makes the lines of a row, each with its size ``n``,
+    and ``arrays`` their features, which take many times the room of the text, when they are in their place."""
+    lines = lines or (lambda df: df.withColumn("n", F.size(column_name(features[0]))))
+    coarse = F.floor(F.col(bucket[0]) / 4096) if dict(rows.dtypes)[bucket[0]] in ("int", "bigint") else None
+    there, here = (lines(df).where("n > 0") for df in (rows.repartitionByRange(*bucket), rows))
+    out = running_sums(there, bucket, order, {"sent_start": F.col("n"), "sent0": F.lit(1)}, coarse, here, few(rows, bucket))
+    out = arrays(out) if arrays else out
+    return out.select((F.col("sent0") + 1).alias("sent"), "sent_start", "n", *(column_name(f) for f in features))
 
 
 def store(spark: SparkSession, path: str, name: str, sentences: DataFrame, features: list[str], **options: bool) -> Corpus:
-    """Writes a corpus under ``path`` and opens it."""
+    """Writes a corpus under ``path``, its sentences as ``number`` deals them, and opens it."""
     rows, names = from_sentences(name, sentences, features, **options)
     base = f"{path.rstrip('/')}/{name}.corpus"
-    rows.repartitionByRange("sent").sortWithinPartitions("sent").write.mode("overwrite").parquet(f"{base}/sentences")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/sentences")
     kept = spark.read.parquet(f"{base}/sentences")
-    tokens_of(kept, names).write.mode("overwrite").parquet(f"{base}/tokens")
     total = kept.agg(F.sum("n").alias("n"), F.count("*").alias("m"), F.bit_xor(F.xxhash64(*kept.columns)).alias("x")).first()
     mark = hashlib.sha256(json.dumps([name, names, total["n"], total["m"], total["x"]]).encode()).hexdigest()[:16]
     meta = [(name, names, int(total["n"] or 0), int(total["m"]), mark)]
@@ -116,7 +118,8 @@ def open_corpus(spark: SparkSession, path: str, name: str) -> Corpus:
     if not exists(spark, f"{base}/info"):
         raise FileNotFoundError(f"no corpus {name!r} in {path}")
     info = spark.read.json(f"{base}/info").first()
-    out = Corpus(info["name"], spark.read.parquet(f"{base}/tokens"), spark.read.parquet(f"{base}/sentences"), list(info["features"]), info["fingerprint"])
+    rows, names = spark.read.parquet(f"{base}/sentences"), list(info["features"])
+    out = Corpus(info["name"], tokens_of(rows, names), rows, names, info["fingerprint"])
     out.size = (info["n_tokens"], info["n_sentences"])
     for template in children(spark, f"{base}/indexes"):
         out.indexes[template] = spark.read.parquet(f"{base}/indexes/{template}")
