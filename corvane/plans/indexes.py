@@ -2,7 +2,8 @@
 
 A template names one or two features at offsets, the first at 0, and negative literals between them:
 ``pos:0+pos:1+s:1#s``. Its table has a row for each position: the values v1 (and v2), the sentence and
-``at``, range partitioned and sorted by key, so a probe reads the row groups whose bounds hold its key. A
+``at``. Each file has the rows of some sentences, sorted by key, so of each a probe reads the pages whose
+bounds hold its key. A
 query is answered from indexes only if they cover all its literals: then nothing else is read. Values are
 never empty. With a minimal frequency, a pair is kept only if both its values are that frequent; the
 frequency is kept in the metadata of ``at``, so it is stored with the table. Such an index is probed only
@@ -22,6 +23,7 @@ from corvane.lang import Literal, Query, QueryError, feature_name
 from corvane.sources.corpus import SENTENCE, Corpus
 
 MIN_FREQUENCY = "min_frequency"
+PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 
 
 @dataclass(frozen=True)
@@ -135,13 +137,18 @@ def frequency_of(index: DataFrame) -> int | None:
     return index.schema["at"].metadata.get(MIN_FREQUENCY, 0 if "v2" not in index.columns else None)
 
 
+def ordered(corpus: Corpus, template: Template, min_frequency: int = 0) -> DataFrame:
+    """Rows of an index as they are stored: those of a task's sentences sorted, nothing shuffled."""
+    return postings(corpus, template, min_frequency).sortWithinPartitions("v1", *(["v2"] if len(template.parts) == 2 else []), "at")
+
+
 def build(spark: SparkSession, path: str, corpus: Corpus, template: Template, min_frequency: int = 0) -> DataFrame:
-    """Writes an index beside its corpus, and adds it to the corpus."""
-    keys = [c for c in ("v1", "v2") if c == "v1" or len(template.parts) == 2]
-    rows = postings(corpus, template, min_frequency).repartitionByRange(*keys, "at").sortWithinPartitions(*keys, "at")
+    """Writes an index beside its corpus, and adds it to the corpus. Sorted values and positions are stored as
+    differences, in short pages."""
+    rows = ordered(corpus, template, min_frequency)
     name = stored_name(template)  # names with a colon aren't names of folders in every store
     where = f"{path.rstrip('/')}/{corpus.name}.corpus/indexes/{name}"
-    rows.write.mode("overwrite").parquet(where)
+    rows.write.mode("overwrite").options(**PACKED).parquet(where)
     corpus.indexes[name] = spark.read.parquet(where)
     return corpus.indexes[name]
 
