@@ -28,14 +28,18 @@ def values(corpus: Corpus, query: Query, found: DataFrame, group_by: list[str])
     corpus.check(group_by)
     n = query.length
     cols = [column_name(f) for f in group_by]
-    if query.sentence_breaks:
-        rows = corpus.sentences.select("sent", "sent_start", *cols).join(found, "sent")
-        spans = [F.slice(c, (F.col("at") - F.col("sent_start") + 1).cast("int"), n) for c in cols]
-        return rows.select("at", F.array(*spans).alias("value"))
-    spread = found.select("at", F.explode(F.array(*map(F.lit, range(n)))).alias("k")).withColumn("place", F.col("at") + F.col("k"))
-    tokens = corpus.tokens.select(F.col("at").alias("place"), *cols)
-    gathered = spread.join(tokens, "place").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", *cols))).alias("t"))
-    return gathered.select("at", F.array(*(F.col(f"t.{c}") for c in cols)).alias("value"))
+    rows = corpus.sentences.select("sent", "sent_start", *cols).join(found.select("sent", "at"), "sent")
+    spans = [F.slice(c, (F.col("at") - F.col("sent_start") + 1).cast("int"), n) for c in cols]
+    rows = rows.select("at", F.array(*spans).alias("value"))
+    if query.sentence_breaks or n == 1:
+        return rows
+    # the rest of a hit that goes over a break lies among the first tokens of later sentences
+    short = rows.where(F.size(F.col("value")[0]) < n)
+    rest = short.select("at", F.explode(F.sequence(F.size(F.col("value")[0]), F.lit(n - 1))).alias("k")).withColumn("place", F.col("at") + F.col("k"))
+    heads = corpus.tokens.where(F.col("i") < n - 1).select(F.col("at").alias("place"), *cols)
+    rest = rest.join(heads, "place").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", *cols))).alias("t"))
+    whole = short.join(rest, "at").select("at", F.array(*(F.concat(F.col("value")[j], F.col(f"t.{c}")) for j, c in enumerate(cols))).alias("value"))
+    return rows.where(F.size(F.col("value")[0]) == n).union(whole)
 
 
 def groups(corpus: Corpus, query: Query, group_by: list[str], sampling: int = 0, plan: str | None = None, found: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,37 @@ def by_arrays(corpus: Corpus, query: Query, mode: str = "chars") -> DataFrame:
     return found.select("sent", (F.col("sent_start") + F.col("k")).alias("at"))
 
 
+def across_arrays(corpus: Corpus, query: Query, mode: str = "chars") -> DataFrame:
+    """Over sentence breaks: what lies within a sentence by its arrays. Of any other start each sentence tells how
+    many of the pattern's tokens fit at its own positions, if all that lie there do; a start is a hit if all tokens
+    are told. Only starts next to a break meet."""
+    n = query.length
+    inside = by_arrays(corpus, query, mode)
+    if n == 1:
+        return inside
+    size, asked = F.col("n"), [k for k, t in enumerate(query.tokens) if t.alternatives]
+
+    def here(i: Column, k: int) -> Column:
+        return (i + k >= 0) & (i + k < size)
+
+    def fits(i: Column) -> Column:
+        out = F.lit(False)
+        for k in asked:
+            out = out | here(i, k)
+        if 0 not in asked:  # its own sentence is that of the hit
+            out = out | here(i, 0)
+        for k in asked:
+            out = out & (~here(i, k) | predicates.token(query.tokens[k], lambda f, k=k: F.get(F.col(column_name(f)), i + k), mode))
+        return out
+
+    starts = F.concat(F.sequence(F.lit(1 - n), F.lit(-1)), F.sequence(F.greatest(size - n + 1, F.lit(0)), size - 1))
+    parts = corpus.sentences.where("n > 0").select("sent", "sent_start", "n", F.explode(F.filter(starts, fits)).alias("k"))
+    told = reduce(lambda a, b: a + b, (here(F.col("k"), j).cast("int") for j in asked))
+    parts = parts.select((F.col("sent_start") + F.col("k")).alias("at"), F.when(F.col("k") >= 0, F.col("sent")).alias("sent"), told.alias("told"))
+    met = parts.where(F.col("at").between(0, len(corpus) - n)).groupBy("at").agg(F.max("sent").alias("sent"), F.sum("told").alias("told"))
+    return inside.union(met.where(F.col("told") == len(asked)).select("sent", "at"))
+
+
 def by_window(corpus: Corpus, query: Query, mode: str = "chars") -> DataFrame:
     """Within sentences, by looking ahead in the token table."""
     w = W.partitionBy("sent").orderBy("at")
@@ -84,7 +117,7 @@ def find(corpus: Corpus, query: Query, plan: str | None = None, mode: str = "cha
     if plan is None:
         if (rows := indexes.covering(corpus, query)) is not None:
             return rows
-        plan = "arrays" if query.sentence_breaks else "joins"
+        plan = "arrays"
     if plan != "joins" and not query.sentence_breaks:
-        plan = "joins"
+        return across_arrays(corpus, query, mode)
     return {"arrays": by_arrays, "window": by_window, "joins": by_joins}[plan](corpus, query, mode)

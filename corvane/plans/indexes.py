@@ -103,17 +103,22 @@ def postings(corpus: Corpus, template: Template, min_frequency: int = 0) -> Data
         return corpus.tokens.select(F.col(column_name(first)).alias("v1"), "sent", marked(0)).where("v1 != ''")
     second, d = template.parts[1]
     kept = [g for g in template.guards if g.feature != SENTENCE]
-    if any(g.feature == SENTENCE for g in template.guards):
-        # both values lie in one sentence: its arrays give the pairs without a shuffle
-        names = dict.fromkeys([first, second, *(g.feature for g in kept)])
-        value = lambda f, k: F.get(F.col(column_name(f)), F.col("i") + k)
-        rows = corpus.sentences.where(F.col("n") > d).select("sent", "sent_start", *map(column_name, names), F.explode(F.sequence(F.lit(0), F.col("n") - d - 1)).alias("i"))
-        rows = rows.select(value(first, 0).alias("v1"), value(second, d).alias("v2"), "sent", (F.col("sent_start") + F.col("i")).alias("at"), *(value(g.feature, g.offset).alias(f"g{j}") for j, g in enumerate(kept)))
-    else:
-        right = corpus.tokens.select((F.col("at") - d).alias("at"), F.col(column_name(second)).alias("v2"))
-        rows = corpus.tokens.select("sent", "at", F.col(column_name(first)).alias("v1")).join(right, "at")
+    names = [*dict.fromkeys([first, second, *(g.feature for g in kept)])]
+    # both values lie in one sentence: its arrays give the pairs without a shuffle
+    value = lambda f, k: F.get(F.col(column_name(f)), F.col("i") + k)
+    span = max([d, *(g.offset for g in kept)])
+    rows = corpus.sentences.where(F.col("n") > span).select("sent", "sent_start", *map(column_name, names), F.explode(F.sequence(F.lit(0), F.col("n") - span - 1)).alias("i"))
+    rows = rows.select(value(first, 0).alias("v1"), value(second, d).alias("v2"), "sent", (F.col("sent_start") + F.col("i")).alias("at"), *(value(g.feature, g.offset).alias(f"g{j}") for j, g in enumerate(kept)))
+    if not any(g.feature == SENTENCE for g in template.guards) and span:
+        # the last tokens of a sentence meet those next to breaks
+        near = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i < span) | (i >= F.col("n") - span))
+        edges = corpus.sentences.where("n > 0").select("sent", "sent_start", "n", *map(column_name, names), F.explode(near).alias("i"))
+        edges = edges.select("sent", (F.col("sent_start") + F.col("i")).alias("at"), (F.col("i") >= F.col("n") - span).alias("last"), *(value(f, 0).alias(column_name(f)) for f in names))
+        ahead = lambda k, f, name: edges.select((F.col("at") - k).alias("at"), F.col(column_name(f)).alias(name))
+        over = edges.where("last").select("sent", "at", F.col(column_name(first)).alias("v1")).join(ahead(d, second, "v2"), "at")
         for j, g in enumerate(kept):
-            rows = rows.join(corpus.tokens.select((F.col("at") - g.offset).alias("at"), F.col(column_name(g.feature)).alias(f"g{j}")), "at")
+            over = over.join(ahead(g.offset, g.feature, f"g{j}"), "at")
+        rows = rows.unionByName(over)
     for j, g in enumerate(kept):
         rows = rows.where(F.col(f"g{j}") != g.value)
     rows = rows.select("v1", "v2", "sent", "at").where("v1 != '' and v2 != ''")
