@@ -145,14 +145,27 @@ def list_corpora(spark: SparkSession, path: str) -> list[str]:
     return [x.removesuffix(".corpus") for x in children(spark, path) if x.endswith(".corpus")]
 
 
-def sanity(corpus: Corpus) -> dict[str, int]:
-    """Violations of the invariants of a corpus; all are 0 in a sound one."""
+def violations(corpus: Corpus) -> DataFrame:
+    """A row of counts. Different positions are counted as bits of words of 64 positions, so what is kept and
+    shuffled is a row for each word."""
     t = corpus.tokens
     cols = [column_name(f) for f in corpus.features]
-    bad = t.agg(
-        (F.count("*") - F.countDistinct("at")).alias("repeated_positions"),
-        (F.coalesce(F.max("at"), F.lit(-1)) + 1 - F.count("*")).alias("missing_positions"),
-        F.count_if(F.col("at") != F.col("sent_start") + F.col("i")).alias("wrong_starts"),
-        F.count_if(F.greatest(*(F.col(c).isNull().cast("int") for c in cols), F.lit(0)) > 0).alias("null_values"),
+    words = t.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("seen"),
+        F.count("*").alias("n"),
+        F.max("at").alias("last"),
+        F.count_if(F.col("at") != F.col("sent_start") + F.col("i")).alias("wrong"),
+        F.count_if(F.greatest(*(F.col(c).isNull().cast("int") for c in cols), F.lit(0)) > 0).alias("nulls"),
     )
-    return {k: int(v) for k, v in bad.first().asDict().items()}
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return words.agg(
+        (total("n") - total(F.bit_count("seen"))).alias("repeated_positions"),
+        (F.coalesce(F.max("last"), F.lit(-1)) + 1 - total("n")).alias("missing_positions"),
+        total("wrong").alias("wrong_starts"),
+        total("nulls").alias("null_values"),
+    )
+
+
+def sanity(corpus: Corpus) -> dict[str, int]:
+    """Violations of the invariants of a corpus; all are 0 in a sound one."""
+    return {k: int(v) for k, v in violations(corpus).first().asDict().items()}
