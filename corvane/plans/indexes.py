@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.predicates import column_name
 from corvane.lang import Literal, Query, QueryError, feature_name
-from corvane.sources.corpus import SENTENCE, Corpus
+from corvane.sources.corpus import GROUP_BYTES, SENTENCE, Corpus
 from corvane.sources.order import few
 
 MIN_FREQUENCY = "min_frequency"
@@ -155,7 +155,14 @@ def build(spark: SparkSession, path: str, corpus: Corpus, template: Template, mi
     rows = ordered(corpus, template, min_frequency)
     name = stored_name(template)  # names with a colon aren't names of folders in every store
     where = f"{path.rstrip('/')}/{corpus.name}.corpus/indexes/{name}"
-    rows.write.mode("overwrite").options(**PACKED).parquet(where)
+    split = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(split)
+    if usual == "134217728b":  # else the session has a number of its own
+        spark.conf.set(split, str(GROUP_BYTES))  # a task sorts what its part of the sentences gives
+    try:
+        rows.write.mode("overwrite").options(**PACKED).parquet(where)
+    finally:
+        spark.conf.set(split, usual)
     corpus.indexes[name] = spark.read.parquet(where)
     return corpus.indexes[name]
 

@@ -22,6 +22,7 @@ from corvane.lang import QueryError, feature_name
 from corvane.sources.order import few, running_sums
 
 SENTENCE = "s"
+GROUP_BYTES = 8 << 20  # of a row group of sentences, the least that a task can read
 
 
 @dataclass
@@ -103,7 +104,7 @@ def store(spark: SparkSession, path: str, name: str, sentences: DataFrame, featu
     """Writes a corpus under ``path``, its sentences as ``number`` deals them, and opens it."""
     rows, names = from_sentences(name, sentences, features, **options)
     base = f"{path.rstrip('/')}/{name}.corpus"
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/sentences")
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{base}/sentences")
     kept = spark.read.parquet(f"{base}/sentences")
     total = kept.agg(F.sum("n").alias("n"), F.count("*").alias("m"), F.bit_xor(F.xxhash64(*kept.columns)).alias("x")).first()
     mark = hashlib.sha256(json.dumps([name, names, total["n"], total["m"], total["x"]]).encode()).hexdigest()[:16]
